@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import packing, quality, simhash
+from skein.llm import packing, pii, quality, secrets, simhash, topk, urls
 from skein.llm.common import table
 
 
@@ -24,5 +24,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op4_packing": op4_packing, "op10_quality": op10_quality}
-ORACLE_SQL: dict[str, str] = {}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op3_topk": op3_topk, "op7_urls": op7_urls, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op6_simhash": op6_simhash, "op4_packing": op4_packing, "op10_quality": op10_quality}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL, "op7_urls": urls.oracle_sql()}
