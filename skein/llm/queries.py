@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import packing, pii, quality, secrets, simhash, topk, urls
-from skein.llm.common import table
+from skein.llm import packing, pii, quality, secrets, simhash, topk, toxicity, urls
+from skein.llm.common import held_out_column, table
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out_column().alias("held_out"), "score", "predicted")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -40,5 +46,5 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op3_topk": op3_topk, "op7_urls": op7_urls, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op6_simhash": op6_simhash, "op4_packing": op4_packing, "op10_quality": op10_quality}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_topk": op3_topk, "op7_urls": op7_urls, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op6_simhash": op6_simhash, "op4_packing": op4_packing, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL, "op7_urls": urls.oracle_sql()}
