@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import packing, pii, quality, secrets, simhash, topk, toxicity, urls
+from skein.llm import html, packing, pii, quality, secrets, sentencepiece, simhash, topk, toxicity, urls
 from skein.llm.common import held_out_column, table
 
 
@@ -38,6 +38,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out_column().alias("held_out"), "score", "predicted")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -46,5 +56,5 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_topk": op3_topk, "op7_urls": op7_urls, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op6_simhash": op6_simhash, "op4_packing": op4_packing, "op10_quality": op10_quality}
+QUERIES = {"op2_html": op2_html, "op9_sentencepiece": op9_sentencepiece, "op1_toxicity": op1_toxicity, "op3_topk": op3_topk, "op7_urls": op7_urls, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op6_simhash": op6_simhash, "op4_packing": op4_packing, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL, "op7_urls": urls.oracle_sql()}
