@@ -8,7 +8,9 @@ population counts differ by more than the radius are skipped.
    group of exact copies is one row afterwards.
 3. Fingerprints are dealt into tiles by the population counts of their four 16-bit words.
    The driver sees only the histogram of those counts (at most 17^4 cells, whatever the
-   input) and lays out at most ``MOST_TILES`` tiles.  Two fingerprints differ in at least
+   input) and lays out the tiles: ``LEAST_TILES``, or more where a tile would have more than
+   ``TILE`` rows.  So each fingerprint goes to a number of pairs that doesn't depend on the
+   input up to ``LEAST_TILES * TILE`` fingerprints.  Two fingerprints differ in at least
    as many bits as their counts differ, summed over the words, so a pair of tiles whose
    counts are further apart than the radius holds no link and is never formed.
 4. Each pair of tiles is one group of rows: blocks of it are compared exactly.  Only a
@@ -18,7 +20,7 @@ population counts differ by more than the radius are skipped.
    fingerprints only; every round is written to the shared checkpoint folder.
 
 Comparing all tiles is quadratic in the number of distinct fingerprints, which is in the
-method's nature; the counts of four words skip about nine tenths of the pairs.
+method's nature; blocks inside a pair of tiles are skipped by the same counts.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other;
 fewer words than a shingle give one shingle; an empty table gives no rows; rows without
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from skein.llm.common import cut, map_arrow
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints of a tile at least, tiles at most, rows and columns compared at once.
-TILE, MOST_TILES, BLOCK = 4096, 512, 1024
+#: Tiles at least and at most, fingerprints of a tile between these, rows and columns compared at once.
+LEAST_TILES, MOST_TILES, TILE, BLOCK = 32, 2048, 1 << 20, 512
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -75,14 +77,12 @@ def _counts(fp: str = "fp") -> list[F.Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(0xFFFF)).cast("int").alias(f"p{k}") for k in range(4)]
 
 
-def _layout(cells: list[tuple[int, int, int, int, int]], tile: int, most: int, radius: int) -> tuple[list[tuple], list[tuple[int, list[int]]]]:
+def _layout(cells: list[tuple[int, int, int, int, int]], tiles: int, radius: int) -> tuple[list[tuple], list[tuple[int, list[int]]]]:
     """Cells to tiles ``(p0..p3, first, spread)``, and each tile's pairs ``(tile, ids)``.
 
     Small cells share a tile; a cell of more than a tile's rows is spread over several.
-    A pair's id is its smaller tile's number times ``most`` * 2 plus the larger one's.
     """
-    total = sum(c[4] for c in cells)
-    size = max(tile, math.ceil(2 * total / most))
+    size = math.ceil(sum(c[4] for c in cells) / tiles)
     where, boxes, room = [], [], 0
     for *p, n in sorted(cells):
         spread = max(1, math.ceil(n / size))
@@ -125,21 +125,21 @@ def forest_of_links(fp: np.ndarray, left: np.ndarray, radius: int = RADIUS, bloc
     """For distinct fingerprints ``fp``: the index of each one's root, linking rows of ``left`` to the others.
 
     Where every row is in ``left`` the rows are compared with each other.  Rows are taken
-    by their population counts, and blocks whose counts differ by more than the radius are skipped.
+    by the population counts of their words, and blocks whose counts differ by more than the radius are skipped.
     """
-    order = np.argsort(np.bitwise_count(fp), kind="stable")
-    fp_s, count = fp[order], np.bitwise_count(fp[order]).astype(int)
-    side = left[order]
-    rows, columns = (np.arange(len(fp)),) * 2 if side.all() else (np.flatnonzero(side), np.flatnonzero(~side))
+    words = np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int64)
+    order = np.lexsort(words.T[::-1])
+    fp_s, words, side = fp[order], words[order], left[order]
     same = bool(side.all())
+    rows, columns = (np.arange(len(fp)),) * 2 if same else (np.flatnonzero(side), np.flatnonzero(~side))
+    at = np.arange(0, len(columns), block)
+    low, high = (f.reduceat(words[columns], at, axis=0) for f in (np.minimum, np.maximum)) if len(at) else (words[:0], words[:0])
     label = np.arange(len(fp))
     for i in range(0, len(rows), block):
         r = rows[i : i + block]
-        j0 = i if same else max(0, int(np.searchsorted(count[columns], count[r[0]] - radius)) // block * block)
-        for j in range(j0, len(columns), block):
+        apart = np.maximum(0, np.maximum(low - words[r].max(axis=0), words[r].min(axis=0) - high)).sum(axis=1)
+        for j in (at[(apart <= radius) & (at >= i)] if same else at[apart <= radius]).tolist():
             c = columns[j : j + block]
-            if count[c[0]] - count[r[-1]] > radius:
-                break
             near = np.bitwise_count(fp_s[r][:, None] ^ fp_s[c][None, :]) <= radius
             if near.any():
                 a, b = np.nonzero(near)
@@ -149,12 +149,13 @@ def forest_of_links(fp: np.ndarray, left: np.ndarray, radius: int = RADIUS, bloc
     return out
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, most: int = MOST_TILES) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints ``fps.fp`` that connect just what lies within ``radius``."""
     spark = fps.sparkSession
     celled = fps.select("fp", *_counts())
     cells = [tuple(r) for r in celled.groupBy("p0", "p1", "p2", "p3").count().collect()]  # at most 17^4 rows
-    where, pairs = _layout(cells, tile, most, radius)
+    total = sum(c[4] for c in cells)
+    where, pairs = _layout(cells, min(MOST_TILES, max(LEAST_TILES, -(-total // tile))), radius)
     names = "p0 int, p1 int, p2 int, p3 int, first int, spread int"
     tiles = spark.createDataFrame(where, names)
     pair_of = spark.createDataFrame(pairs, "tile int, pairs array<long>")
