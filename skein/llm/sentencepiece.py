@@ -61,15 +61,24 @@ class Vocabulary:
 
 
 def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
-    """Positions of ``codes`` (0 ends a text) in order of their next ``width`` codes, by doubling."""
-    _, rank = np.unique(codes, return_inverse=True)
-    rank, span = rank.astype(np.int64) + 1, 1
+    """Positions of ``codes`` (0 ends a text) in order of their next ``width`` codes.
+
+    As many codes as fit are packed into one number; ranks of spans are doubled from there.
+    """
+    n = len(codes)
+    rank = np.cumsum(np.bincount(codes) > 0)[codes]
+    bits = int(rank.max(initial=1)).bit_length()
+    span, key = 1, rank.copy()
+    while span < width and (span + 1) * bits <= 62:
+        key <<= bits
+        key[: n - span] |= rank[span:]
+        span += 1
     while span < width:
-        far = np.zeros_like(rank)
-        far[:-span] = rank[span:]
-        _, rank = np.unique(rank * (len(codes) + 2) + far, return_inverse=True)
-        rank, span = rank.astype(np.int64) + 1, 2 * span
-    return np.argsort(rank, kind="stable")
+        _, rank = np.unique(key, return_inverse=True)
+        key = (rank + 1) * (n + 2)
+        key[: n - span] += rank[span:] + 1
+        span *= 2
+    return np.argsort(key, kind="stable")
 
 
 def occurrences(vocabulary: Vocabulary, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
