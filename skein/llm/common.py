@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows whose crc32(doc_id as text) has this remainder are held out of training.
 FOLDS, HELD_OUT = 5, 0
@@ -40,12 +42,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` (columns as lists in, columns as lists out) to every Arrow batch, without a shuffle."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,6 +55,16 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
     return df.mapInArrow(run, schema)
 
 
+def filter_arrow(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text (as UTF-8; empty for null) ``keep`` accepts, with all their columns."""
+
+    def run(rows: dict) -> dict:
+        kept = keep([(t or "").encode() for t in rows[text]])
+        return {c: [v for v, k in zip(values, kept) if k] for c, values in rows.items()}
+
+    return map_arrow(df, run, df.schema)
+
+
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in pieces of about ``most`` bytes, so that Python objects of one piece stay small."""
     pieces = max(1, -(-batch.nbytes // most))

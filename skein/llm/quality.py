@@ -17,11 +17,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
 from skein.llm import boosting
-from skein.llm.common import labelled_sample, map_arrow
+from skein.llm.common import filter_arrow, labelled_sample, map_arrow
 
 SAMPLE = 8192
 WINDOW = 8
@@ -35,7 +36,6 @@ FEATURES = {
 }
 #: Common short words of the corpus's languages.
 STOP_WORDS = frozenset(w.encode() for w in "the of and to in is a that for it with as was on be by de la le et les des un une que en el los y se del las der die und den von zu das mit".split())
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<float>"
 
 
 def _windows(ids: np.ndarray) -> np.ndarray:
@@ -57,7 +57,7 @@ def _windows(ids: np.ndarray) -> np.ndarray:
 
 
 def counts(text: bytes) -> tuple[int, int, int, int, int, list[float]]:
-    """``SCHEMA``'s values for one text."""
+    """Words, their code points, symbols, repeated lines, repeated words and ``FEATURES`` of one text."""
     words = text.split()
     n = len(words)
     chars = b"".join(words)
@@ -107,23 +107,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosting.Fo
     return boosting.train(x, rows["label"].to_numpy(float), list(FEATURES.values()))
 
 
-def judge(docs: DataFrame, forest: boosting.Forest, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``SCHEMA``'s counts, ``base_failed``, the forest's ``quality_score`` and ``kept``."""
+def judge(docs: DataFrame, forest: boosting.Forest, threshold: float = 0.5, id_column: str = "doc_id") -> DataFrame:
+    """Each row's id, the base counts, ``base_failed``, the forest's ``quality_score`` and ``kept``."""
 
     def run(rows: dict) -> dict:
         got = [counts((t or "").encode()) for t in rows["text"]]
         x = np.array([c[5] for c in got], np.float32).astype(float).reshape(len(got), len(FEATURES))
         score = forest.score(x)
         failed = [_fail(c[0], c[4]) for c in got]
-        return rows | dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), zip(*(c[:5] for c in got)))) | {
+        return {id_column: rows[id_column]} | {n: [c[i] for c in got] for i, n in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))} | {
             "base_failed": failed, "quality_score": score, "kept": [not f and s >= threshold for f, s in zip(failed, score)]}
 
-    clash = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed quality_score kept".split()
-    docs = docs.drop(*clash)
-    have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs, run, have + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_score double, kept boolean")
+    docs = docs.select(id_column, "text")
+    schema = StructType([docs.schema[0]])
+    for name, kind in [*((n, LongType()) for n in "n_words word_chars n_symbols n_dup_lines n_repeat_words".split()), ("base_failed", BooleanType()), ("quality_score", DoubleType()), ("kept", BooleanType())]:
+        schema = schema.add(name, kind)
+    return map_arrow(docs, run, schema)
 
 
-def filter_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns that ``docs`` has."""
-    return judge(docs, fit(docs, labels)).where("kept").select(*docs.columns)
+def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all the columns of ``docs``."""
+    forest = fit(docs, labels)
+
+    def keep(texts: list[bytes]) -> list[bool]:
+        got = [counts(t) for t in texts]
+        score = forest.score(np.array([c[5] for c in got], np.float32).astype(float).reshape(len(got), len(FEATURES)))
+        return [not _fail(c[0], c[4]) and s >= threshold for c, s in zip(got, score)]
+
+    return filter_arrow(docs, keep)
