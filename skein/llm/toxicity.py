@@ -11,8 +11,8 @@ alone, so a worker keeps a table of word weights and scoring is one lookup per w
 
 Training takes at most ``POSITIVES`` toxic rows and ``UNLABELLED`` other rows, chosen by a
 hash of the id and never held out (crc32 of the id modulo 5 is 0); the prior is that of the
-labelled training rows, by a count over all of them.  The samples' word hashes, not their
-texts, come to the driver.  All other rows are scored from their whole texts without a shuffle.
+labelled training rows, by a count over all of them.  Buckets are counted and chosen by
+Spark; only the samples' chosen buckets come to the driver.  All other rows are scored from their whole texts without a shuffle.
 
 Defined cases: a null or empty text has no words and gets the score of the bias alone;
 without toxic labels every score is below 0.5; repeated rows are scored alike; an empty
@@ -28,10 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from skein.llm.common import held_out_column, labelled_sample, map_arrow
+from skein.llm.common import cut, filter_arrow, held_out_column, labelled_sample, map_arrow
 
-POSITIVES, UNLABELLED, BUCKETS, CHOSEN = 2048, 6144, 1 << 18, 4096
+POSITIVES, UNLABELLED, BUCKETS, CHOSEN = 2048, 6144, 1 << 18, 2048
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words of a worker's weight table.
 CACHE_WORDS = 500_000
@@ -58,32 +59,27 @@ class Model:
     bias: float
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.1, l2: float = 1e-4) -> Model:
-    """Non-negative PU training on texts given as arrays of their distinct buckets.
+def choose(sample: DataFrame, n_positive: int, n_unlabelled: int) -> list[int]:
+    """Buckets that are clearly more frequent in positive texts than in unlabelled ones: at most ``CHOSEN``, best first.
 
-    Buckets that are clearly more frequent in positive texts than in unlabelled ones take
-    part (at most ``CHOSEN``); full-batch Adam minimises the corrected logistic risk.
+    ``sample`` holds (label, buckets); copies of a text count once.
     """
-    if not positive or not unlabelled:
-        return Model({}, -4.0)
-    df_p, df_u = (np.bincount(np.concatenate(d), minlength=BUCKETS) for d in (positive, unlabelled))
-    expected = len(positive) * (df_u + 0.5) / (len(unlabelled) + 1)
-    z = (df_p - expected) / np.sqrt(expected + 0.5)
-    chosen = np.flatnonzero((z > 5) & (df_p + 0.5 > 2.5 * (expected + 0.5)) & (df_p >= 4))
-    chosen = chosen[np.argsort(-z[chosen], kind="stable")][:CHOSEN]
-    place = np.full(BUCKETS, -1)
-    place[chosen] = np.arange(len(chosen))
-
-    def dense(texts: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(texts), len(chosen)), np.float32)
-        for i, t in enumerate(texts):
-            own = place[t]
-            x[i, own[own >= 0]] = 1
-        return x
-
-    xp, xu = dense(positive), dense(unlabelled)
-    w, b = np.zeros(len(chosen)), -2.0
-    first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    each = sample.select("label", F.explode("buckets").alias("bucket"))
+    df = each.groupBy("bucket").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("u"))
+    expected = n_positive * (F.col("u") + 0.5) / (n_unlabelled + 1)
+    z = (F.col("p") - expected) / F.sqrt(expected + 0.5)
+    least = max(5, n_positive // 100)
+    rows = df.withColumn("z", z).where((F.col("z") > 5) & (F.col("p") + 0.5 > 2.5 * (expected + 0.5)) & (F.col("p") >= least))
+    return [r["bucket"] for r in rows.orderBy(F.desc("z"), "bucket").limit(CHOSEN).collect()]
+
+
+def train(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.1, l2: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Non-negative PU training on positive rows ``xp`` and unlabelled rows ``xu``: weights and bias.
+
+    Full-batch Adam minimises the corrected logistic risk.
+    """
+    w, b = np.zeros(xp.shape[1]), -2.0
+    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
     for t in range(1, rounds + 1):
         zp, zu = xp @ w + b, xu @ w + b
@@ -95,7 +91,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model(dict(zip(chosen.tolist(), w.tolist())), float(b))
+    return w, float(b)
 
 
 def _buckets(rows: dict) -> dict:
@@ -109,14 +105,26 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out_column())
     n, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
+    none = Model({}, -4.0)
     if not toxic:
-        return Model({}, -4.0)
+        return none
+    prior = min(0.9, max(1e-3, toxic / n))
     text = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).where(~held_out_column())
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).withColumn("unlabelled", F.lit(1))
     samples = labelled_sample(labels.where("toxic = 1"), "toxic", positives).unionByName(labelled_sample(ids, "unlabelled", unlabelled, seed=23).withColumn("label", F.lit(0)))
-    rows = map_arrow(text.join(F.broadcast(samples), "doc_id").select("text", "label"), _buckets, "label int, buckets array<int>").toPandas()
-    sets = [[np.asarray(b, np.int64) for b in rows.loc[rows["label"] == y, "buckets"]] for y in (1, 0)]
-    return train(*sets, prior=min(0.9, max(1e-3, toxic / n)))
+    sample = cut(map_arrow(text.join(F.broadcast(samples), "doc_id").select("text", "label"), _buckets, "label int, buckets array<int>").distinct())
+    size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if not (size.get(0) and size.get(1)):
+        return none
+    chosen = choose(sample, size[1], size[0])
+    place = {b: i for i, b in enumerate(chosen)}
+    own = sample.select("label", F.array_intersect("buckets", F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<int>")).alias("own")).toPandas()
+    x = np.zeros((len(own), len(chosen)), np.float32)
+    for i, buckets in enumerate(own["own"]):
+        x[i, [place[b] for b in buckets]] = 1
+    y = own["label"].to_numpy() == 1
+    w, b = train(x[y], x[~y], prior)
+    return Model(dict(zip(chosen, w.tolist())), b)
 
 
 class WordWeights(dict):
@@ -133,28 +141,32 @@ class WordWeights(dict):
         return found
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs``'s columns, ``score`` (0 to 1) and ``predicted`` (1 at ``threshold`` or more) for every whole text."""
+def _scores(model: Model, tables: dict, texts: list[bytes]) -> list[float]:
+    table = tables.setdefault(0, WordWeights(model))
+    out = []
+    for t in texts:
+        own: set[int] = set()
+        for found in filter(None, map(table.__getitem__, set(t.lower().split()))):
+            own.update(found)
+        z = model.bias + sum(model.weight[b] for b in sorted(own))
+        out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+    return out
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_column: str = "doc_id") -> DataFrame:
+    """``(id, score, predicted)`` for every whole text: a score of 0 to 1, and 1 where it is at least ``threshold``."""
+    tables: dict[int, WordWeights] = {}
 
     def run(rows: dict) -> dict:
-        table = tables.setdefault(0, WordWeights(model))
-        out = []
-        for t in rows["text"]:
-            own: set[int] = set()
-            for found in filter(None, map(table.__getitem__, set(t.lower().split()) if t else ())):
-                own.update(found)
-            z = model.bias + sum(model.weight[b] for b in sorted(own))
-            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-        return {c: rows[c] for c in rows if c != "text"} | {"score": out, "predicted": [int(s >= threshold) for s in out]}
+        out = _scores(model, tables, [t or b"" for t in rows["text"]])
+        return {id_column: rows[id_column], "score": out, "predicted": [int(s >= threshold) for s in out]}
 
-    tables: dict[int, WordWeights] = {}
-    docs = docs.drop("score", "predicted")
-    keep = [c for c in docs.columns if c != "text"]
-    have = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_arrow(docs.select(*keep, F.col("text").cast("string").cast("binary").alias("text")), run, have + "score double, predicted int")
+    docs = docs.select(id_column, F.col("text").cast("string").cast("binary").alias("text"))
+    return map_arrow(docs, run, StructType([docs.schema[0]]).add("score", DoubleType()).add("predicted", IntegerType()))
 
 
-def filter_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with the columns that ``docs`` has."""
-    whole = docs.withColumn("whole", F.struct(*docs.columns)).select("whole", "text")
-    return score(whole, fit(docs, labels)).where("predicted = 0").select("whole.*")
+def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all the columns of ``docs``."""
+    model = fit(docs, labels)
+    tables: dict[int, WordWeights] = {}
+    return filter_arrow(docs, lambda texts: [s < threshold for s in _scores(model, tables, texts)])
