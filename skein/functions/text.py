@@ -101,12 +101,19 @@ def preview(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
-@F.pandas_udf("string")
-def ascii_fold(text: pd.Series) -> pd.Series:
-    """Compatibility-decomposed text without its non-ASCII characters; Spark has no such function."""
+def _fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
 
+def _title(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else t.title())
+
+
+def ascii_fold(text: Column) -> Column:
+    """Compatibility-decomposed text without its non-ASCII characters; Spark has no such function."""
+    return F.pandas_udf(_fold, "string")(text)
+
+
 def sanitize_filename(title: Column, most: int = 255) -> Column:
     """A file name for a title; null where nothing is left of it."""
     name = F.translate(ascii_fold(title), " /:", "_--")
@@ -118,15 +125,10 @@ def sanitize_filename(title: Column, most: int = 255) -> Column:
 
 def title_case(text: Column) -> Column:
     """Upper case after every non-letter (unlike ``initcap``, which looks at white space only)."""
-    return _title(text)
-
-
-@F.pandas_udf("string")
-def _title(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else t.title())
+    return F.pandas_udf(_title, "string")(text)
 
 
 def register(spark) -> None:
     """The Python-backed functions by name, for use in SQL."""
-    spark.udf.register("skein_ascii_fold", ascii_fold)
-    spark.udf.register("skein_title_case", _title)
+    spark.udf.register("skein_ascii_fold", F.pandas_udf(_fold, "string"))
+    spark.udf.register("skein_title_case", F.pandas_udf(_title, "string"))

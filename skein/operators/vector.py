@@ -40,7 +40,7 @@ def search(vectors: DataFrame, query: Sequence[float], k: int = 10, filters: dic
     if not len(query):
         raise ValidationError("the query vector is empty")
     literal = F.array(*(F.lit(float(x)) for x in query))
-    near = where_equal(vectors, filters).select(F.col(id_column), F.round(cosine_distance(F.col(vector), literal), 6).alias("distance"))
+    near = where_equal(vectors, filters).select(F.col(id_column), (F.round(cosine_distance(F.col(vector), literal), 6) + 0.0).alias("distance"))
     near = near.orderBy("distance", id_column).limit(k)
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", id_column)))  # over k rows
 
@@ -60,7 +60,7 @@ def search_batch(vectors: DataFrame, queries: dict, k: int = 10, filters: dict |
             if not len(x):
                 continue
             norm = np.linalg.norm(x, axis=1)
-            distance = np.round(1 - (x @ matrix.T) / np.where(norm > 0, norm, np.nan)[:, None], 6)
+            distance = np.round(1 - (x @ matrix.T) / np.where(norm > 0, norm, np.nan)[:, None], 6) + 0.0
             ids = rows["id"].to_numpy()
             for j, name in enumerate(names):
                 order = np.lexsort((ids, distance[:, j]))[:k]
