@@ -249,7 +249,7 @@ def marginals(model: Model, parent: np.ndarray, level: np.ndarray, x: np.ndarray
     return out / out.sum(axis=1, keepdims=True), joint
 
 
-def train(pages: list[Page], rounds: int = 200, rate: float = 0.2, l2: float = 1e-4) -> Model:
+def train(pages: list[Page], rounds: int = 300, rate: float = 0.3, l2: float = 1e-5) -> Model:
     """Maximum likelihood on labelled pages by gradient steps (Adam), with exact marginals."""
     parent, level, x, _ = features(pages)
     y = np.array([v for p in pages for v in p.label])
@@ -274,7 +274,7 @@ def _prose(r: random.Random, least: int, most: int) -> str:
     return text.capitalize() + "."
 
 
-def labelled_pages(n: int = 320, seed: int = 3) -> list[Page]:
+def labelled_pages(n: int = 500, seed: int = 3) -> list[Page]:
     """Pages of many layouts with the truth for each element, by a seeded generator.
 
     Content is marked by an attribute ``data-y`` at generation; children of content are

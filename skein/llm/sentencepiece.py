@@ -71,12 +71,12 @@ def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
     span, key = 1, rank.copy()
     while span < width and (span + 1) * bits <= 62:
         key <<= bits
-        key[: n - span] |= rank[span:]
+        key[: max(0, n - span)] |= rank[span:]
         span += 1
     while span < width:
         _, rank = np.unique(key, return_inverse=True)
         key = (rank + 1) * (n + 2)
-        key[: n - span] += rank[span:] + 1
+        key[: max(0, n - span)] += rank[span:] + 1
         span *= 2
     return np.argsort(key, kind="stable")
 

@@ -19,7 +19,8 @@ those.  Nothing is broadcast or sent to the driver but two row counts.
 Defined cases: vectors that are null or hold null or non-finite components take no part,
 nor do rows without an id; rows that repeat an id count once, with the largest vector;
 shorter vectors are filled up with zeros; ties go to the smaller id; a query with fewer
-candidates than k returns all of them; an empty table gives no rows.
+candidates than k returns all of them; scores that don't fit 64 bits are an error; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +49,9 @@ def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k
     n, width = x.shape
     most = max(1.0, float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width)
     kind = np.float32 if most < 2**23 else np.float64
-    exact_in = kind if most < 2**52 else object
+    if most >= 2**62:
+        raise ValueError("scores don't fit 64 bits")
+    exact_in = kind if most < 2**52 else np.int64
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     lists = np.sort(x, axis=0)
@@ -59,7 +62,7 @@ def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k
         down, up = lists[n - 1 - at], lists[at]
         steps.append([a.T.astype(kind) for a in (np.maximum(x, down), np.maximum(-x, -up), np.where(x > down, x, low), np.where(x < up, -x, -high))])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    exact = x.T.astype(exact_in) if exact_in is not object else x.astype(object).T
+    exact = x.T.astype(exact_in)
     position = pd.Index(ids)
     for s in range(0, len(q), STEP):
         block, own = q[s : s + STEP], position.get_indexer(query_ids[s : s + STEP])
@@ -78,11 +81,11 @@ def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k
             if done.any():
                 r, c = np.nonzero(may[done])
                 rows = open_[done][r]
-                score = np.einsum("ij,ij->i", block[rows].astype(np.float64), x[c])
+                score = np.einsum("ij,ij->i", block[rows], x[c])
                 out.append(_first(rows, c, score, own, k, s))
                 open_ = open_[~done]
         if len(open_):
-            score = (block[open_].astype(exact_in) @ exact).astype(np.float64 if exact_in is not object else object)
+            score = block[open_].astype(exact_in) @ exact
             keep = score >= np.partition(score, n - k - 1, axis=1)[:, n - k - 1][:, None] if n > k + 1 else np.ones(score.shape, bool)
             r, c = np.nonzero(keep)
             out.append(_first(open_[r], c, score[r, c], own, k, s))
