@@ -230,3 +230,17 @@ def tokenizer_counter(path: str) -> Callable[[], Count]:
         return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids) if text else 0
 
     return make
+
+
+def register(spark) -> None:
+    """The chunker as a table function for SQL: ``select * from skein_chunks(title, text)``, also with a lateral join."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="chunk_index int, section_path string, chunk_text string")
+    class Chunks:
+        def eval(self, title: str, text: str):
+            if title and title.strip() and text and text.strip():
+                for i, (body, path) in enumerate(chunk_article(title, text)):
+                    yield i, path, body
+
+    spark.udtf.register("skein_chunks", Chunks)

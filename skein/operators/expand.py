@@ -35,9 +35,9 @@ def expand(hits: DataFrame, chunks: DataFrame, config: ExpansionConfig = Expansi
     """``(query_id, chunk_id, score, place, depth)``: hits with their scores, then expanded chunks with score 0.
 
     ``hits`` has (query_id, chunk_id, score, rank); ``chunks`` has (chunk_id, article_title,
-    chunk_index, links).  The result has at most ``max_chunks`` rows for a query.
+    chunk_index, links); hits without a stored chunk go.  The result has at most ``max_chunks`` rows for a query.
     """
-    base = hits.join(chunks.select("chunk_id", "links"), "chunk_id", "left").select("query_id", "chunk_id", "score", "rank", "links")
+    base = hits.join(chunks.select("chunk_id", "links"), "chunk_id").select("query_id", "chunk_id", "score", "rank", "links")
     out = base.select("query_id", "chunk_id", "score", F.lit(0).alias("depth"), F.col("rank").alias("pos"))
     if config.depth >= 1:
         one = _step(base, base.select("query_id", "chunk_id"), chunks, config.per_link_1, config.max_chunks)

@@ -9,6 +9,12 @@ PROGRESS = "id string, article_id string, article_last_updated string, status st
 STATES = ("pending", "processing", "completed", "failed")
 
 
+def conform(rows: DataFrame, schema: str = PROGRESS) -> DataFrame:
+    """``rows`` brought to a later (or earlier) schema: new columns are null, dropped ones go, types are cast."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    return rows.select(*((F.col(n) if n in rows.columns else F.lit(None)).cast(k).alias(n) for n, k in fields))
+
+
 def changes(articles: DataFrame, stored: DataFrame, mode: str = "differs", force: bool = False) -> DataFrame:
     """``articles`` with ``action``: add, update or skip.
 

@@ -123,6 +123,11 @@ class ChunkStore:
         self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").partitionBy("bucket").parquet(self.path)
         return n
 
+    def drop(self) -> None:
+        """Delete the store with its folder; opening it again makes an empty one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def health(self) -> dict:
         """Status, row count, or the error."""
         try:

@@ -597,6 +597,36 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embed(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk_text")), embed.hashing(64)).select("doc_id", "embedding")
 
 
+# --- sources, read from texts in memory ----------------------------------------------------
+
+
+@query("""
+select doc_id::varchar as wiki_id, 'Doc ' || doc_id as title, case when doc_id % 3 = 0 then '' else '2024-01-0' || (doc_id % 9 + 1) end as last_updated, lang as text
+from documents where doc_id % 7 <> 0 and doc_id % 5 <> 1""")
+def xml_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page filter and projection of the XML source: other namespaces and redirects go, a missing time is empty."""
+    from skein.sources.wiki import PAGE, article_pages
+
+    d = F.col("doc_id")
+    n = d.cast("string")
+    stamp = F.when(d % 3 != 0, F.concat(F.lit("<timestamp>2024-01-0"), (d % 9 + 1).cast("string"), F.lit("</timestamp>"))).otherwise("")
+    xml = F.concat(
+        F.lit("<page><title>Doc "), n, F.lit("</title><ns>"), F.when(d % 7 == 0, "1").otherwise("0"), F.lit("</ns><id>"), n, F.lit("</id>"),
+        F.when(d % 5 == 1, '<redirect title="X"/>').otherwise(""), F.lit("<revision>"), stamp, F.lit('<text bytes="2">'), F.col("lang"), F.lit("</text></revision></page>"),
+    )
+    raw = table(spark, sf_dir, "documents").select(F.from_xml(xml, PAGE, {"rowTag": "page"}).alias("p")).select("p.*")
+    return article_pages(raw).withColumn("last_updated", F.substring("last_updated", 1, 10))
+
+
+@query("select doc_id::varchar as wiki_id, 'It''s ' || doc_id as title, lang as last_updated, trim(text, ' ' || chr(10) || chr(9)) as content, n_chars::integer as word_count from documents")
+def markdown_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles written as archive files' texts and parsed again."""
+    from skein.sources import archive
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("wiki_id"), F.concat(F.lit("It's "), F.col("doc_id").cast("string")).alias("title"), F.col("lang").alias("last_updated"), F.col("text").alias("content"), F.col("n_chars").cast("int").alias("word_count"))
+    return archive.parsed(archive.render(docs).select(F.col("name").alias("path"), "raw")).drop("path")
+
+
 # --- streams ------------------------------------------------------------------------------
 
 
@@ -608,3 +638,25 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = window_counts(table(spark, sf_dir, "events"))
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query("select doc_id, 'add' as action from documents")
+def stream_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream of changes against what was taken in before; a second run adds nothing."""
+    import tempfile
+    import uuid
+
+    from skein.streaming import ingest as stream
+
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='skein-')}/{uuid.uuid4().hex}"
+
+    def sink(batch: DataFrame, _: int) -> None:
+        new = batch.select(F.col("doc_id").alias("wiki_id"), F.col("lang").alias("last_updated"))
+        stored = spark.read.schema("wiki_id long, stored string, action string").parquet(f"{base}/taken")
+        todo = ingest.changes(new, stored.select("wiki_id", "stored")).where("action <> 'skip'")
+        todo.select("wiki_id", F.col("last_updated").alias("stored"), "action").write.mode("append").parquet(f"{base}/taken")
+
+    spark.createDataFrame([], "wiki_id long, stored string, action string").write.parquet(f"{base}/taken")
+    for run in ("a", "b"):  # two checkpoints, so the second run sees all files again
+        stream.run_once(stream.read(spark, f"{sf_dir}/documents*.parquet"), sink, f"{base}/{run}")
+    return spark.read.parquet(f"{base}/taken").select(F.col("wiki_id").alias("doc_id"), "action")

@@ -40,13 +40,17 @@ def load(spark: SparkSession, path: str, wiki_ids: list[str] | None = None, patt
 
     Files of the archive's own writer need column expressions only.  A missing word count is counted.
     """
+    rows = parsed(files(spark, path, pattern))
+    return rows.where(F.col("wiki_id").isin(list(wiki_ids))) if wiki_ids else rows
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """Articles of texts (path, raw); those without a sound front matter are left out."""
     header, body = front_matter(F.col("raw"))
-    read = files(spark, path, pattern).select("path", header.alias("h"), body.alias("content"))
+    read = raw.select("path", header.alias("h"), body.alias("content"))
     rows = read.where(F.col("h").isNotNull()).select("path", *(_field(F.col("h"), k).alias(k) for k in REQUIRED), "content", _field(F.col("h"), "word_count").cast("int").alias("given"))
     for key in REQUIRED:
         rows = rows.where(F.trim(F.coalesce(key, F.lit(""))) != "")
-    if wiki_ids:
-        rows = rows.where(F.col("wiki_id").isin(list(wiki_ids)))
     return rows.select("path", *REQUIRED, "content", F.coalesce("given", word_count(F.col("content"))).alias("word_count"))
 
 

@@ -14,7 +14,7 @@ WATERMARK = "10 minutes"
 
 
 def read(spark: SparkSession, path: str, pattern: str | None = None, files: int | None = None) -> DataFrame:
-    """A stream of a folder's Parquet files, with the schema that the files have now."""
+    """A stream of the Parquet files of a folder (or glob), with the schema that they have now."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

@@ -192,3 +192,37 @@ def test_stream_windows_equal_the_batch(spark, tmp_path):
     want = stream.window_counts(table).where("start < '2024-02-01'")
     assert sorted(map(tuple, spark.table("w").where("start < '2024-02-01'").collect())) == sorted(map(tuple, want.collect()))
     assert stream.session_counts(table).agg(F.sum("n")).first()[0] == 61
+
+
+def test_schema_changes(spark):
+    old = spark.createDataFrame([("1", "a", 5)], "id string, article_id string, gone int")
+    new = ingest.conform(old)
+    assert [f.split()[0] for f in ingest.PROGRESS.split(", ")] == new.columns and new.first()["status"] is None
+
+
+def test_store_drop(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    store.drop()
+    assert store.health()["status"] == "unhealthy" and ChunkStore(spark, str(tmp_path / "s")).count() == 0
+
+
+def test_sql_functions(spark):
+    from skein.functions import text
+    from skein.operators import chunking
+
+    text.register(spark)
+    chunking.register(spark)
+    assert spark.sql("select skein_title_case('a-b') t").first()["t"] == "A-B"
+    rows = spark.sql("select * from values ('T', '## A\nx') as v(title, body), lateral skein_chunks(title, body)").collect()
+    assert [(r["section_path"], r["chunk_text"]) for r in rows] == [("A", "## A\nx")]
+
+
+def test_json_log():
+    import io
+    import json
+
+    from skein import log
+
+    out = io.StringIO()
+    log.setup(stream=out).info("done", extra={"fields": {"n": 3}})
+    assert json.loads(out.getvalue()) | {"time": 0} == {"time": 0, "level": "info", "logger": "skein", "event": "done", "n": 3}
