@@ -42,6 +42,8 @@ from skein.llm.common import cut, map_arrow
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Tiles at least and at most, fingerprints of a tile between these, rows and columns compared at once.
 LEAST_TILES, MOST_TILES, TILE, BLOCK = 32, 2048, 1 << 20, 512
+#: A fingerprint of more than 1/HOT of all rows finds its group by a broadcast.
+HOT = 1024
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -183,7 +185,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     if not both.take(1):
-        return nodes.limit(0)
+        return nodes.select("fp", "least").limit(0)
     label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("label")))
     while True:
         heard = both.join(label, both.b == label.fp).groupBy("a").agg(F.min("label").alias("heard"))
@@ -194,7 +196,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         label = new.select("fp", "label")
         if not moved:
             break
-    held = label.join(nodes, "fp")
+    held = label.join(nodes.select("fp", "least"), "fp")
     least = held.groupBy("label").agg(F.min("least").alias("least"))
     return label.join(least, "label").select("fp", "least")
 
@@ -202,11 +204,16 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id") -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row of ``docs`` (id column, text)."""
     rows = cut(fingerprints(docs, id_column))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = cut(nodes)
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     linked = components(links(nodes, radius), nodes)
-    of = nodes.join(linked.withColumnRenamed("least", "reach"), "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"))
-    return rows.join(of, "fp").select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = nodes.join(linked.withColumnRenamed("least", "reach"), "fp", "left").select("fp", "n", F.coalesce("reach", "least").alias("component_id"))
+    # a fingerprint with more than 1/HOT of all rows: there are fewer than HOT of them, so they may be broadcast
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    of = cut(of)
+    hot = of.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id"))
+    placed = rows.join(F.broadcast(hot), "fp", "left")
+    rest = placed.where("hot_id is null").join(of.where(F.col("n") * HOT <= total).select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return placed.where("hot_id is not null").select("id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest).select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id") -> DataFrame:
