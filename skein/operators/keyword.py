@@ -1,6 +1,6 @@
 """BM25 keyword index and search.
 
-The index is three tables: postings (term, chunk_id, tf), docs (chunk_id, pos, dl) and terms
+The index is three tables: postings (term, chunk_id, pos, dl, tf), docs (chunk_id, pos, dl) and terms
 (term, df, idf).  Queries come in batches: every operator carries ``query_id``, so many
 queries are one job.  Scores are rounded before they are ordered, so ties don't depend on
 the order of a sum.
@@ -46,7 +46,9 @@ def build(chunks: DataFrame, id_column: str = "chunk_id", text: str = "chunk_tex
     """An index of ``chunks``; ``order`` (the id by default) breaks ties between scores."""
     words = chunks.select(F.col(id_column).alias("chunk_id"), F.col(order or id_column).alias("pos"), tokens(F.coalesce(text, F.lit("")), lowercase).alias("words"))
     docs = words.select("chunk_id", "pos", F.size("words").cast("long").alias("dl"))
-    postings = words.select("chunk_id", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    # a posting carries its chunk's position and length, so a search joins nothing else
+    each = words.select("chunk_id", "pos", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    postings = each.groupBy("term", "chunk_id", "pos", "dl").agg(F.count(F.lit(1)).alias("tf"))
     sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(sizes)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -80,7 +82,7 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20, check: bool = T
     if check and queries.where(F.trim(F.coalesce("text", F.lit(""))) == "").take(1):
         raise ValidationError("a query is empty")
     known = query_terms(queries, index.lowercase).join(index.terms.select("term", "idf"), "term")
-    hits = known.join(index.postings, "term").join(index.docs, "chunk_id").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    hits = known.join(index.postings, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.first("pos").alias("pos"), _score().alias("score"))
     first = index.docs.orderBy("pos").select("chunk_id", "pos")
     negative = index.stats.first()["avg_idf"]

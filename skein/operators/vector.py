@@ -2,7 +2,7 @@
 
 One query is a column expression with the query's vector as a literal, so filters reach the
 scan and the top rows are a ``TakeOrderedAndProject``.  A batch of queries is a numpy matrix
-product per Arrow batch; every partition keeps only its best rows per query.
+product per Arrow batch; a partition hands on only its best rows per query.
 """
 
 from __future__ import annotations
@@ -36,15 +36,23 @@ def where_equal(rows: DataFrame, filters: dict | None) -> DataFrame:
 
 
 def search(vectors: DataFrame, query: Sequence[float], k: int = 10, filters: dict | None = None, id_column: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """``(id, distance, rank)`` of the ``k`` nearest rows, ties by id."""
+    """``(id, distance, rank)`` of the ``k`` nearest rows, ties by id; zero vectors have no distance and go."""
     if not len(query):
         raise ValidationError("the query vector is empty")
     literal = F.array(*(F.lit(float(x)) for x in query))
     near = where_equal(vectors, filters).select(F.col(id_column), (F.round(cosine_distance(F.col(vector), literal), 6) + 0.0).alias("distance"))
-    near = near.orderBy("distance", id_column).limit(k)
+    near = near.where("distance is not null").orderBy("distance", id_column).limit(k)
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", id_column)))  # over k rows
 
 
+def _first(query: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest rows of each query, ties by id."""
+    order = np.lexsort((ids, distance, query))
+    query, ids, distance = query[order], ids[order], distance[order]
+    top = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[top], ids[top], distance[top]
+
+
 def search_batch(vectors: DataFrame, queries: dict, k: int = 10, filters: dict | None = None, id_column: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, id, distance, rank)`` for a batch of queries ``{query_id: vector}`` of bounded size."""
     names = list(queries)
@@ -55,16 +63,20 @@ def search_batch(vectors: DataFrame, queries: dict, k: int = 10, filters: dict |
     kind = vectors.schema[id_column].dataType.simpleString()
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # (query number, id, distance) of the partition's best rows so far
         for rows in batches:
             x = np.array(rows["v"].tolist(), np.float64)
             if not len(x):
                 continue
             norm = np.linalg.norm(x, axis=1)
             distance = np.round(1 - (x @ matrix.T) / np.where(norm > 0, norm, np.nan)[:, None], 6) + 0.0
-            ids = rows["id"].to_numpy()
-            for j, name in enumerate(names):
-                order = np.lexsort((ids, distance[:, j]))[:k]
-                yield pd.DataFrame({"query_id": name, id_column: ids[order], "distance": distance[order, j]})
+            distance[np.isnan(distance)] = np.inf
+            bar = np.partition(distance, min(k, len(x)) - 1, axis=0)[min(k, len(x)) - 1]
+            row, query = np.nonzero((distance <= bar) & np.isfinite(distance))
+            new = (query, rows["id"].to_numpy()[row], distance[row, query])
+            held = _first(*(new if held is None else map(np.concatenate, zip(held, new))), k)
+        if held is not None and len(held[0]):
+            yield pd.DataFrame({"query_id": [names[j] for j in held[0]], id_column: held[1], "distance": held[2]})
 
     rows = where_equal(vectors, filters).select(F.col(id_column).alias("id"), F.col(vector).alias("v")).where("v is not null")
     near = rows.mapInPandas(best, f"query_id {'string' if isinstance(names[0], str) else 'long'}, `{id_column}` {kind}, distance double")

@@ -66,6 +66,12 @@ def test_vector_search(vectors):
         vector.search(vectors, [])
 
 
+def test_zero_vectors_have_no_distance(spark):
+    rows = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 1.0])], "chunk_id string, embedding array<float>")
+    assert [r["chunk_id"] for r in vector.search(rows, [1.0, 0.0], 5).collect()] == ["b"]
+    assert [r["chunk_id"] for r in vector.search_batch(rows, {1: [1.0, 0.0]}, 5).collect()] == ["b"]
+
+
 def test_batch_equals_single(vectors):
     got = vector.search_batch(vectors, {"q": [0.0, 1.0]}, 4).orderBy("rank").collect()
     assert [(r["chunk_id"], r["distance"], r["rank"]) for r in got] == [(r["chunk_id"], r["distance"], r["rank"]) for r in vector.search(vectors, [0.0, 1.0], 4).orderBy("rank").collect()]
