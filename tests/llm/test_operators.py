@@ -509,3 +509,26 @@ def test_pipeline(spark, tmp_path):
     assert "<secret>" in spark.read.parquet(str(tmp_path / "secrets")).where("doc_id = 124").first()["text"]
     assert {r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()} == ids
     assert json.dumps([n for n, _ in cp.STAGES]) == '["quality", "toxicity", "near_dedup", "secrets", "packing"]'
+
+
+# --- empty tables, repeated rows, nulls everywhere -----------------------------------------
+
+
+def test_empty_tables(spark):
+    import corpus_pipeline as cp
+
+    none = docs(spark, [])
+    forest = boosting.train(np.zeros((0, len(quality.FEATURES))), np.zeros(0), list(quality.FEATURES.values()))
+    assert quality.judge(none, forest).count() == 0 and toxicity.score(none, toxicity.Model({}, -4.0)).count() == 0
+    assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicate(none).count() == 0 and secrets.redact(none).count() == 0
+    assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string"), html.Model(np.zeros(html.N_FEATURES), np.zeros((2, 2)))).count() == 0
+    assert len(cp.STAGES) == 5
+
+
+def test_repeated_rows_and_null_ids(spark):
+    table = docs(spark, ["same text of some words here"] * 4 + [None, None], [5, 5, None, None, None, 9])
+    assert simhash.near_duplicates(table).count() == 6
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(table).collect()} == {(5, 5), (None, 5), (None, 9), (9, 9)}
+    assert pii.find(table).count() == 6 and secrets.find(table).count() == 6
+    assert sentencepiece.round_trip(table, MODEL).count() == 6 and packing.pack(table, TOKENIZER).where("start = 0").count() == 6
+    assert toxicity.score(table, toxicity.Model({}, -4.0)).count() == 6
