@@ -84,10 +84,9 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20, check: bool = T
     known = query_terms(queries, index.lowercase).join(index.terms.select("term", "idf"), "term")
     hits = known.join(index.postings, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.first("pos").alias("pos"), _score().alias("score"))
-    first = index.docs.orderBy("pos").select("chunk_id", "pos")
-    negative = index.stats.first()["avg_idf"]
-    if negative is None or negative >= 0:
-        first = first.limit(2 * k)
+    place = index.docs.select("chunk_id", "pos")
+    every = place.crossJoin(F.broadcast(index.stats.where("avg_idf < 0").select(F.lit(1).alias("_")))).drop("_")  # no row or one
+    first = place.orderBy("pos").limit(2 * k).unionByName(every).distinct()
     blank = queries.select("query_id").distinct().crossJoin(first).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     both = scored.unionByName(blank.withColumn("score", F.lit(0.0)))
