@@ -25,12 +25,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 LENGTH = 4096
 END = 2
-#: Memory and grouping: tokens that a task holds at once, tokens of a group, words whose ids are kept.
-BUFFER_TOKENS, GROUP_TOKENS, CACHE_WORDS = 4 << 20, 1 << 20, 800_000
+#: Memory and grouping: tokens that a task holds at once, tokens of a group, words whose ids a task keeps.
+BUFFER_TOKENS, GROUP_TOKENS, CACHE_WORDS = 4 << 20, 1 << 20, 450_000
 #: A bin with at most 1/SLACK free is padded as it is.
 SLACK = 128
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -58,9 +59,10 @@ class WordIds(dict):
     def __init__(self, path: str):
         self.encode = _tokenizer(path).encode_batch
 
-    def add(self, words: set[bytes]) -> None:
+    def add(self, words: list[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > CACHE_WORDS:
+            words = set(words)
             kept = {w: ids for w, ids in self.items() if len(w) <= 8 or w in words}
             self.clear()
             self.update(kept if len(kept) + len(new) <= CACHE_WORDS else {w: ids for w, ids in kept.items() if w in words})
@@ -74,28 +76,29 @@ class WordIds(dict):
                 raw = ids.tobytes()
                 self.update((w.encode(), raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:]))
 
-    def texts(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        out: list[bytes] = []
-        known, at = set(), 0
-        for i, words in enumerate(split):  # words that are looked up together fit in the table together
-            fresh = set(words)
-            if len(known) + len(fresh) > CACHE_WORDS // 2 and i > at:
-                out += self._join(split[at:i], known)
-                known, at = set(), i
-            known |= fresh
-        return out + self._join(split[at:], known)
-
-    def _join(self, split: list[list[bytes]], known: set[bytes]) -> list[bytes]:
-        self.add(known)
-        get = self.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-@functools.cache
-def word_ids(path: str) -> WordIds:
-    """One table for all tasks of a worker."""
-    return WordIds(path)
+    def texts(self, texts: list[bytes] | pa.Array) -> list[bytes]:
+        """The ids of each text.
+
+        Arrow splits the texts and numbers their distinct words; Python meets only those, and
+        numpy puts the ids together.
+        """
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(column.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        offsets = split.offsets.to_numpy()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        self[b""] = b""  # what is before white space at a text's start and after it at the end
+        self.add(distinct)
+        values = [self[w] for w in distinct]
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        start = np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        own = size[index]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat(start[index] - ends[:-1], own) + np.arange(ends[-1])]
+        cuts = (4 * ends[offsets - offsets[0]]).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -180,7 +183,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
 
         context = TaskContext.get()
         base = [(context.partitionId() if context else 0) << 33]
-        words = word_ids(tokenizer)
+        words = WordIds(tokenizer)
         ids_of: list = []
         held: list[bytes] = []
         tokens = 0
@@ -211,14 +214,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
 
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), words.texts(texts)):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), words.texts(part.column("text"))):
                     ids_of.append(doc)
                     held.append(ids + tail)
                     tokens += len(ids) // 4 + 1
                     if tokens >= buffer_tokens:
                         yield from flush()
                         ids_of, held, tokens = [], [], 0
+        words.clear()
         yield from flush()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
