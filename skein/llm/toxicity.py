@@ -82,12 +82,13 @@ def train(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 300, rate:
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
     for t in range(1, rounds + 1):
-        zp, zu = xp @ w + b, xu @ w + b
+        narrow = w.astype(np.float32)  # the rows' own type, so that products copy no row
+        zp, zu = (xp @ narrow).astype(float) + b, (xu @ narrow).astype(float) + b
         if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean():
             cp, cu = np.full(len(zp), -prior / len(zp)), sigmoid(zu) / len(zu)
         else:  # the corrected negative risk fell below zero: step back
             cp, cu = prior * sigmoid(zp) / len(zp), -sigmoid(zu) / len(zu)
-        grad = np.append(xp.T @ cp + xu.T @ cu + l2 * w, cp.sum() + cu.sum())
+        grad = np.append(xp.T @ cp.astype(np.float32) + xu.T @ cu.astype(np.float32) + l2 * w, cp.sum() + cu.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
