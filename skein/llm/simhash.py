@@ -210,10 +210,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc
     # a fingerprint with more than 1/HOT of all rows: there are fewer than HOT of them, so they may be broadcast
     total = nodes.agg(F.sum("n")).first()[0] or 0
     of = cut(of)
-    hot = of.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id"))
+    hot = of.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot"))
+    # a flag of its own tells the two apart: a group of none but rows without an id has a null component
     placed = rows.join(F.broadcast(hot), "fp", "left")
-    rest = placed.where("hot_id is null").join(of.where(F.col("n") * HOT <= total).select("fp", "component_id"), "fp").select("id", "fp", "component_id")
-    return placed.where("hot_id is not null").select("id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest).select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rest = placed.where("is_hot is null").join(of.where(F.col("n") * HOT <= total).select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return placed.where("is_hot").select("id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest).select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id") -> DataFrame:

@@ -364,6 +364,13 @@ def test_layout_loses_no_pair():
                 assert all(pair[i] & pair[j] for i in tiles[a] for j in tiles[b])
 
 
+@pytest.mark.parametrize("copies", [3, 1200])  # the group without ids has more than 1/HOT of all rows, then less
+def test_group_without_ids_is_kept(spark, copies):
+    texts = [prose(1, 80)] * copies + [prose(2, 80)]
+    found = simhash.near_duplicates(docs(spark, texts, [*range(copies), None]))
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["component_id"]) for r in found.collect()) == [*((False, i, 0) for i in range(copies)), (True, None, None)]
+
+
 def test_deduplicate(spark):
     table = docs(spark, [prose(1, 80), prose(1, 80), prose(2, 80), prose(2, 80), None], [3, 1, 7, 7, None])
     kept = simhash.deduplicate(table)
