@@ -80,6 +80,23 @@ def _convert_links(text: str, redirects: dict[str, str]) -> str:
     return "".join(out) + text[at:]
 
 
+def _before_links(text: str) -> str:
+    text = remove_special(text)
+    # numbered items first, so that converted level-1 headings aren't taken for them
+    text = re.sub(r"^# ", "1. ", text, flags=re.M)
+    return _HEADING.sub(lambda m: f"{'#' * len(m[1])} {m[2].strip()}", text)
+
+
+def looked_up(text: str | None) -> list[str]:
+    """Distinct titles that ``to_markdown`` and ``infobox`` look up among the redirects."""
+    try:
+        ready = _before_links(text or "")
+        found = [_link_parts(ready[a + 2 : b - 2])[0] for a, b in outermost(ready, "[[")]
+    except (ValueError, RecursionError, re.error):
+        found = []
+    return list(dict.fromkeys([*found, *infobox(text)[1]]))
+
+
 def to_markdown(text: str | None, redirects: dict[str, str] | None = None) -> str:
     """Markdown of a page's markup.
 
@@ -88,11 +105,7 @@ def to_markdown(text: str | None, redirects: dict[str, str] | None = None) -> st
     """
     if not text:
         return ""
-    text = remove_special(text)
-    # numbered items first, so that converted level-1 headings aren't taken for them
-    text = re.sub(r"^# ", "1. ", text, flags=re.M)
-    text = _HEADING.sub(lambda m: f"{'#' * len(m[1])} {m[2].strip()}", text)
-    text = _convert_links(text, redirects or {})
+    text = _convert_links(_before_links(text), redirects or {})
     text = _EXTERNAL.sub(lambda m: f"[{m[2].strip()}]({m[1]})", text)
     text = re.sub(r"'''(.+?)'''", r"**\1**", text)
     text = re.sub(r"''(.+?)''", r"*\1*", text)
@@ -150,22 +163,38 @@ def infobox(text: str | None, redirects: dict[str, str] | None = None) -> tuple[
     return None, []
 
 
+def with_redirects(pages: DataFrame, redirects: DataFrame, key: str = "wiki_id") -> DataFrame:
+    """``pages`` with the redirects (source, target) each looks up, as arrays ``_sources`` and ``_targets``; for tables of any size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows[[key]].assign(source=[looked_up(t) for t in rows["text"]]).explode("source").dropna(subset=["source"])
+
+    links = pages.select(key, "text").mapInPandas(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, source string").distinct()
+    found = links.join(redirects, "source").groupBy(key).agg(F.collect_list(F.struct("source", "target")).alias("_pairs"))
+    found = found.select(key, F.col("_pairs.source").alias("_sources"), F.col("_pairs.target").alias("_targets"))
+    return pages.join(found, key, "left")
+
+
 def convert_pages(pages: DataFrame, redirects: dict[str, str] | None = None) -> DataFrame:
     """``pages`` (text column) with content, word_count, infobox, infobox_links and wiki_links; one pass.
 
-    ``redirects`` is a map of bounded size; ``skein.operators.links.resolve`` joins a large one.
-    A page whose markup can't be read keeps its raw text.
+    ``redirects`` is a map of bounded size; without it, pages may carry their own redirects in two
+    array columns ``_sources`` and ``_targets`` (``with_redirects``).  A page whose markup can't be read keeps its raw text.
     """
 
+    own = redirects is None and "_sources" in pages.columns
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            maps = [{} if s is None else dict(zip(s, t)) for s, t in zip(rows["_sources"], rows["_targets"])] if own else [redirects] * len(rows)
             contents = []
-            for t in rows["text"]:
+            for t, known in zip(rows["text"], maps):
                 try:
-                    contents.append(to_markdown(t, redirects))
+                    contents.append(to_markdown(t, known))
                 except (ValueError, RecursionError, re.error):
                     contents.append(t)
-            boxes = [infobox(t, redirects) for t in rows["text"]]
+            boxes = [infobox(t, known) for t, known in zip(rows["text"], maps)]
             yield rows.assign(
                 content=contents, word_count=[len((c or "").split()) for c in contents],
                 infobox=[b[0] for b in boxes], infobox_links=[b[1] for b in boxes], wiki_links=[wiki_links(t) for t in rows["text"]],

@@ -17,9 +17,12 @@ def resolve(links: DataFrame, redirects: DataFrame, column: str = "link") -> Dat
 def resolve_markdown(articles: DataFrame, redirects: DataFrame, key: str = "wiki_id", text: str = "content") -> DataFrame:
     """Articles whose Markdown links point to redirect targets; only articles with such links are rebuilt."""
     used = articles.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(LINK), F.lit(2)))).alias("link"))
-    hits = used.join(redirects, used.link == redirects.source).groupBy(key).agg(F.collect_list(F.struct("source", "target")).alias("_pairs"))
-    swap = F.aggregate("_pairs", F.col(text), lambda t, p: F.replace(t, F.concat(F.lit("]("), p["source"], F.lit(")")), F.concat(F.lit("]("), p["target"], F.lit(")"))))
-    return articles.join(hits, key, "left").withColumn(text, F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(swap)).drop("_pairs")
+    hits = used.join(redirects, used.link == redirects.source).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("source", "target"))).alias("_targets"))
+    # all links are replaced in one step, so that a target which is a source itself stays
+    target = lambda m: F.element_at("_targets", F.regexp_extract(m, LINK, 2))
+    new = F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), lambda m: F.coalesce(F.concat(F.lit("["), F.regexp_extract(m, LINK, 1), F.lit("]("), target(m), F.lit(")")), m))
+    swap = F.array_join(F.zip_with(F.split(text, LINK, -1), new, lambda t, m: F.concat(t, F.coalesce(m, F.lit("")))), "")
+    return articles.join(hits, key, "left").withColumn(text, F.when(F.col("_targets").isNull(), F.col(text)).otherwise(swap)).drop("_targets")
 
 
 def incoming(edges: DataFrame, k: int = 10) -> DataFrame:

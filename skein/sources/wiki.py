@@ -52,18 +52,16 @@ def article_pages(raw: DataFrame, page_ids: DataFrame | list[str] | None = None)
 def articles(spark: SparkSession, path: str, page_ids: DataFrame | list[str] | None = None, most_redirects: int = 1_000_000) -> DataFrame:
     """Converted articles: (wiki_id, title, last_updated, content, word_count, infobox, infobox_links).
 
-    Redirects go to the tasks as a map only below ``most_redirects`` rows; beyond, links are
-    resolved afterwards by a join (``skein.operators.links.resolve_markdown``).
+    Redirects go to the tasks as a map only below ``most_redirects`` rows; beyond, a join gives
+    each page those it looks up (``wikitext.with_redirects``), with the same results.
     """
-    from skein.operators.links import resolve_markdown
-
     raw = pages(spark, path)
     table = redirects(raw)
     few = table.limit(most_redirects + 1).collect()
     small = len(few) <= most_redirects
-    made = wikitext.convert_pages(article_pages(raw, page_ids), {r["source"]: r["target"] for r in few} if small else None)
-    made = made.where((F.trim("content") != "") & (F.col("word_count") >= 0))
-    return (made if small else resolve_markdown(made, table)).drop("text", "wiki_links")
+    found = article_pages(raw, page_ids)
+    made = wikitext.convert_pages(found, {r["source"]: r["target"] for r in few}) if small else wikitext.convert_pages(wikitext.with_redirects(found, table))
+    return made.where((F.trim("content") != "") & (F.col("word_count") >= 0)).drop("text", "wiki_links", "_sources", "_targets")
 
 
 def edges(raw: DataFrame) -> DataFrame:

@@ -41,6 +41,16 @@ def test_large_redirect_tables_are_joined(spark, xml):
     assert few == many
 
 
+def test_large_redirect_tables_give_the_same_columns(spark, tmp_path):
+    text = "{{Infobox town|name=[[A]]|near=[[B]] and [[C]]|by=[[Foo (x)|f]]}}\n[[A]] [[B|b]] [[Foo (x)]] [[A {{t}}]] [w](A) [[[A]]] [[None such]]"
+    pages = [("P", text, None), ("Q", "no links", None), ("A", "#", "B"), ("B", "#", "C"), ("Foo (x)", "#", "Bar (y)"), ("A  z", "#", "D")]
+    xml = "".join(f"<page><title>{t}</title><ns>0</ns><id>{i}</id>{f'<redirect title=\"{r}\" />' if r else ''}<revision><text>{x}</text></revision></page>\n" for i, (t, x, r) in enumerate(pages))
+    (tmp_path / "w.xml").write_text(f"<mediawiki>\n{xml}</mediawiki>")
+    few, many = ({r["wiki_id"]: r.asDict() for r in wiki.articles(spark, str(tmp_path / "w.xml"), most_redirects=m).collect()} for m in (10, 0))
+    assert few == many and set(few) == {"0", "1"}
+    assert few["0"]["infobox_links"] == ["B", "C", "Bar (y)"] and "[B](B) [b](C) [Bar (y)](Bar (y)) [B](B)" in few["0"]["content"] and "[w](A)" in few["0"]["content"]
+
+
 def test_redirects_titles_edges(spark, xml):
     raw = wiki.pages(spark, xml)
     assert [tuple(r) for r in wiki.redirects(raw).collect()] == [("Old Name", "Beta & Co")]

@@ -126,6 +126,13 @@ def test_redirects_resolve_one_step(spark):
     assert links.resolve_markdown(md, r).first()["content"] == "[t](b) [u](x)"
 
 
+def test_redirects_in_markdown_resolve_at_once(spark):
+    r = spark.createDataFrame([("a", "b"), ("b", "a")], "source string, target string")
+    md = spark.createDataFrame([("1", "x [t](a) [u](b) (a) [v](x)"), ("2", "[s](b)[r](a)"), ("3", None)], "wiki_id string, content string")
+    got = {x["wiki_id"]: x["content"] for x in links.resolve_markdown(md, r).collect()}
+    assert got == {"1": "x [t](b) [u](a) (a) [v](x)", "2": "[s](a)[r](b)", "3": None}
+
+
 def test_breadth_first_order_equals_a_queue(spark):
     graph = {"1": ["3", "2", "9"], "2": ["4"], "3": ["4", "5", "1"], "4": ["6"], "5": [], "6": []}
     edges = spark.createDataFrame([(s, f"T{d}", p) for s, ds in graph.items() for p, d in enumerate(ds)], "src_id string, dst_title string, pos int")
