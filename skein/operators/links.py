@@ -30,8 +30,8 @@ def incoming(edges: DataFrame, k: int = 10) -> DataFrame:
     return edges.groupBy(F.col("dst_title").alias("title")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "title").limit(k)
 
 
-def breadth_first(edges: DataFrame, titles: DataFrame, seed: str, most: int = 100, most_depth: int = 50) -> DataFrame:
-    """``(place, id, depth)``: pages in breadth-first order from ``seed``, at most ``most``.
+def breadth_first(edges: DataFrame, titles: DataFrame, seed: str, most: int = 100, most_depth: int | None = None) -> DataFrame:
+    """``(place, id, depth)``: pages in breadth-first order from ``seed``, at most ``most``; of any depth if ``most_depth`` is None.
 
     ``edges`` has (src_id, dst_title, pos) and ``titles`` (title, id).  One join for each level;
     within a level pages come in order of (parent's place, link position).  The frontier never
@@ -42,9 +42,9 @@ def breadth_first(edges: DataFrame, titles: DataFrame, seed: str, most: int = 10
     graph = edges.join(titles, edges.dst_title == titles.title).select("src_id", F.col("id").alias("dst"), "pos")
     found = [(1, seed, 0)]
     seen, level = {seed}, [(1, seed)]
-    for depth in range(1, most_depth + 1):
-        if not level or len(found) >= most:
-            break
+    depth = 0
+    while level and len(found) < most and (most_depth is None or depth < most_depth):
+        depth += 1
         frontier = spark.createDataFrame(level, "place int, src_id string")
         # a level gives at most `most` new pages; the seen ones among its best candidates are no more than `most` either
         best = graph.join(F.broadcast(frontier), "src_id").groupBy("dst").agg(F.min(F.struct("place", "pos")).alias("at")).orderBy("at", "dst").limit(2 * most)

@@ -133,6 +133,13 @@ def test_redirects_in_markdown_resolve_at_once(spark):
     assert got == {"1": "x [t](b) [u](a) (a) [v](x)", "2": "[s](a)[r](b)", "3": None}
 
 
+def test_breadth_first_follows_a_long_chain(spark):
+    edges = spark.createDataFrame([(str(i), f"T{i + 1}", 0) for i in range(53)], "src_id string, dst_title string, pos int").coalesce(1).cache()
+    titles = spark.createDataFrame([(f"T{i}", str(i)) for i in range(54)], "title string, id string").coalesce(1).cache()
+    assert [r["id"] for r in links.breadth_first(edges, titles, "0", 100).orderBy("place").collect()] == [str(i) for i in range(54)]
+    assert links.breadth_first(edges, titles, "0", 100, most_depth=2).count() == 3
+
+
 def test_breadth_first_order_equals_a_queue(spark):
     graph = {"1": ["3", "2", "9"], "2": ["4"], "3": ["4", "5", "1"], "4": ["6"], "5": [], "6": []}
     edges = spark.createDataFrame([(s, f"T{d}", p) for s, ds in graph.items() for p, d in enumerate(ds)], "src_id string, dst_title string, pos int")
