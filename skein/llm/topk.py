@@ -6,7 +6,8 @@ Lists are read in step to growing depths.  A candidate's lower bound takes the c
 read so far and each unread list's last value; its upper bound takes each unread list's next
 value instead.  When few candidates have an upper bound that reaches the k-th best lower
 bound, the outsiders can't qualify any more: reading stops and the scores of the candidates
-left are resolved exactly.
+left are resolved exactly.  Every query closes by its bounds: at a list's end, the last
+depth read, they equal the scores.  Blocks of at most 4k candidates are read to the end at once.
 
 Bounds of all pairs of a block are matrix products: with ``t`` the next unread value of a
 list, a candidate's part is max(value, t).  Positive and negative query components read a
@@ -25,6 +26,8 @@ table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 K, DIVISOR, SCALE = 20, 20, 64
 #: Rows of a block of candidates and of queries; queries bounded at once; depths read, as shares of a list.
-CANDIDATES, QUERIES, STEP, DEPTHS = 8192, 4096, 512, (0.85, 0.92)
+CANDIDATES, QUERIES, STEP, DEPTHS = 8192, 4096, 512, (0.85, 0.92, 0.96, 0.98)
 #: Reading stops when at most this share of a block can still qualify.
 OPEN = 1 / 32
 
@@ -48,44 +51,48 @@ def best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k
     """``(query, candidate, score)`` of each query's k best among the candidates, but for its own id."""
     n, width = x.shape
     most = max(1.0, float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width)
-    kind = np.float32 if most < 2**23 else np.float64
+    kind = np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64
+    wide, least = (np.int64, np.iinfo(np.int64).min) if kind is np.int64 else (np.float64, -np.inf)
     if most >= 2**62:
         raise ValueError("scores don't fit 64 bits")
-    exact_in = kind if most < 2**52 else np.int64
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     lists = np.sort(x, axis=0)
     low, high = lists[0], lists[-1]
-    steps = []
-    for p in depths if n > 4 * k else ():
+    reads = [*(depths if n > 4 * k else ()), 1.0] if depths else []
+
+    @functools.cache
+    def step(p: float) -> list[np.ndarray]:
         at = min(n - 1, int(p * n))
         down, up = lists[n - 1 - at], lists[at]
-        steps.append([a.T.astype(kind) for a in (np.maximum(x, down), np.maximum(-x, -up), np.where(x > down, x, low), np.where(x < up, -x, -high))])
+        return [a.T.astype(kind) for a in (np.maximum(x, down), np.maximum(-x, -up), np.where(x > down, x, low), np.where(x < up, -x, -high))]
+
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    exact = x.T.astype(exact_in)
+    exact = x.T.astype(kind)
     position = pd.Index(ids)
     for s in range(0, len(q), STEP):
         block, own = q[s : s + STEP], position.get_indexer(query_ids[s : s + STEP])
         plus, minus = np.maximum(block, 0).astype(kind), np.maximum(-block, 0).astype(kind)
-        open_, left = np.arange(len(block)), None
-        for upper_p, upper_m, lower_p, lower_m in steps if kind is exact_in else ():
+        open_ = np.arange(len(block))
+        for p in reads:
             if not len(open_):
                 break
+            upper_p, upper_m, lower_p, lower_m = step(p)
             upper = plus[open_] @ upper_p + minus[open_] @ upper_m
             lower = plus[open_] @ lower_p + minus[open_] @ lower_m
             mine = own[open_] >= 0
-            upper[mine, own[open_][mine]] = lower[mine, own[open_][mine]] = -np.inf
-            bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
+            upper[mine, own[open_][mine]] = lower[mine, own[open_][mine]] = least
+            bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), least)
             may = upper >= bar[:, None]
-            done = may.sum(axis=1) <= max(2 * k, int(OPEN * n))
+            done = (may.sum(axis=1) <= max(2 * k, int(OPEN * n))) | (p == 1.0)
             if done.any():
                 r, c = np.nonzero(may[done])
                 rows = open_[done][r]
-                score = np.einsum("ij,ij->i", block[rows], x[c])
+                score = np.einsum("ij,ij->i", block[rows].astype(wide), x[c].astype(wide))
                 out.append(_first(rows, c, score, own, k, s))
                 open_ = open_[~done]
         if len(open_):
-            score = block[open_].astype(exact_in) @ exact
+            score = block[open_].astype(kind) @ exact
             keep = score >= np.partition(score, n - k - 1, axis=1)[:, n - k - 1][:, None] if n > k + 1 else np.ones(score.shape, bool)
             r, c = np.nonzero(keep)
             out.append(_first(open_[r], c, score[r, c], own, k, s))

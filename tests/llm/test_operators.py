@@ -198,6 +198,18 @@ def test_topk_stops_early_and_stays_exact():
     assert key(early) == key(full)
 
 
+@pytest.mark.parametrize("n, scale", [(60, 50), (900, 50), (900, 1 << 24)])
+def test_topk_closes_every_query_by_its_bounds(n, scale, monkeypatch):
+    q = np.random.default_rng(n)
+    x = np.floor(q.normal(size=(n, 64)) * scale)
+    x[n // 2 :] = x[: n - n // 2]  # ties
+    ids, real, full = np.arange(n), np.partition, []
+    want = topk.best(ids, x, ids[:40], x[:40], 20, ())
+    monkeypatch.setattr(np, "partition", lambda a, kth, axis=-1: (full.append(len(a)) if kth == n - 21 else None, real(a, kth, axis=axis))[1])
+    got = topk.best(ids, x, ids[:40], x[:40], 20)
+    assert not full and {*zip(*(a.tolist() for a in got))} == {*zip(*(a.tolist() for a in want))}
+
+
 def test_topk_large_components(spark):
     rows = [(0, [5e6, 1.0]), (1, [5e6, 2.0]), (2, [5e6, 1.5]), (3, [-5e6, 0.5])]
     got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2).orderBy("rank").collect()
