@@ -29,16 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class SharedFolderError(ValueError):
+    """A cluster names no folder that all its machines share."""
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, materialised in the shared checkpoint folder, without its lineage.
 
-    The folder is what ``spark.checkpoint.dir`` names; a temporary one is set only
-    where that is unset, as in tests on one machine.
+    The folder is what ``spark.checkpoint.dir`` names.  Where that is unset, a local master gets a
+    temporary folder, as in tests, and a cluster is an error: a folder of one machine isn't
+    seen by the others.  Spark deletes the files when nothing refers to the result any more.
     """
     spark = df.sparkSession
     context = spark.sparkContext
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise SharedFolderError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-"))
     return df.checkpoint(eager=True)
 
 
@@ -56,13 +65,18 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
 
 
 def filter_arrow(df: DataFrame, keep: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text (as UTF-8; empty for null) ``keep`` accepts, with all their columns."""
+    """The rows of ``df`` whose text (as UTF-8; empty for null) ``keep`` accepts, with all their columns.
+
+    Only the text becomes Python objects; batches are filtered by a mask.
+    """
 
-    def run(rows: dict) -> dict:
-        kept = keep([(t or "").encode() for t in rows[text]])
-        return {c: [v for v, k in zip(values, kept) if k] for c, values in rows.items()}
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(part.schema.get_field_index(text)).cast(pa.string()).cast(pa.binary()).to_pylist()
+                yield part.filter(pa.array(keep([t or b"" for t in texts]), pa.bool_()))
 
-    return map_arrow(df, run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -96,3 +110,24 @@ def labelled_sample(labels: DataFrame, label: str, most: int, seed: int = 17) ->
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
         .limit(most)
     )
+
+
+def few_ids(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` distinct ids (doc_id) of rows that aren't held out, by the smallest hashes.
+
+    Only ids whose hash is below a bar are shuffled, about four times as many as are needed; the bar
+    follows from the number of rows, so ids that repeat very often can make the sample smaller.
+    """
+    hashed = F.xxhash64(F.lit(seed), "doc_id")
+    n = max(1, rows.count())
+    bar = int(min(1.0, 4 * most / n) * 2**64) - 2**63
+    named = rows.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out_column() & (hashed <= F.lit(min(bar, 2**63 - 1))))
+    return named.distinct().orderBy(hashed, "doc_id").limit(most)
+
+
+def one_text(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row ``(doc_id, *columns, text)`` for each id: the text with the smallest hash, where ids repeat.
+
+    It bounds the rows of a sample of ids by the number of ids.  Texts are pre-aggregated in each task.
+    """
+    return rows.groupBy("doc_id", *columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
 from skein.llm import boosting
-from skein.llm.common import filter_arrow, labelled_sample, map_arrow
+from skein.llm.common import filter_arrow, labelled_sample, map_arrow, one_text
 
 SAMPLE = 8192
 WINDOW = 8
@@ -94,8 +94,8 @@ def _fail(n: int, repeated: int) -> bool:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosting.Forest:
-    """A forest for ``labels.quality`` from at most ``sample`` labelled rows of ``docs``."""
-    chosen = docs.selectExpr("doc_id", "cast(text as string) text").join(F.broadcast(labelled_sample(labels, "quality", sample)), "doc_id")
+    """A forest for ``labels.quality`` from at most ``sample`` labelled rows of ``docs``, one for an id."""
+    chosen = one_text(docs.selectExpr("doc_id", "cast(text as string) text").join(F.broadcast(labelled_sample(labels, "quality", sample)), "doc_id"), "label")
 
     def stats(rows: dict) -> dict:
         got = [counts((t or "").encode()) for t in rows["text"]]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from skein.llm.common import cut, filter_arrow, held_out_column, labelled_sample, map_arrow
+from skein.llm.common import cut, few_ids, filter_arrow, held_out_column, labelled_sample, map_arrow, one_text
 
 POSITIVES, UNLABELLED, BUCKETS, CHOSEN = 2048, 6144, 1 << 18, 2048
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -73,6 +73,19 @@ def choose(sample: DataFrame, n_positive: int, n_unlabelled: int) -> list[int]:
     return [r["bucket"] for r in rows.orderBy(F.desc("z"), "bucket").limit(CHOSEN).collect()]
 
 
+def risks(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Of margins: the positives' risk ``prior * R+(p)`` and the corrected negative risk ``R-(u) - prior * R-(p)`` (logistic loss)."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of what a step lowers by each margin: the sum of both risks; where the corrected one is below zero, its negative."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+    if risks(zp, zu, prior)[1] >= 0:
+        return np.full(len(zp), -prior / len(zp)), sigmoid(zu) / len(zu)
+    return prior * sigmoid(zp) / len(zp), -sigmoid(zu) / len(zu)  # step back
+
+
 def train(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.1, l2: float = 3e-4) -> tuple[np.ndarray, float]:
     """Non-negative PU training on positive rows ``xp`` and unlabelled rows ``xu``: weights and bias.
 
@@ -80,14 +93,9 @@ def train(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 300, rate:
     """
     w, b = np.zeros(xp.shape[1]), -2.0
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
     for t in range(1, rounds + 1):
         narrow = w.astype(np.float32)  # the rows' own type, so that products copy no row
-        zp, zu = (xp @ narrow).astype(float) + b, (xu @ narrow).astype(float) + b
-        if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean():
-            cp, cu = np.full(len(zp), -prior / len(zp)), sigmoid(zu) / len(zu)
-        else:  # the corrected negative risk fell below zero: step back
-            cp, cu = prior * sigmoid(zp) / len(zp), -sigmoid(zu) / len(zu)
+        cp, cu = slopes((xp @ narrow).astype(float) + b, (xu @ narrow).astype(float) + b, prior)
         grad = np.append(xp.T @ cp.astype(np.float32) + xu.T @ cu.astype(np.float32) + l2 * w, cp.sum() + cu.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
@@ -111,9 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         return none
     prior = min(0.9, max(1e-3, toxic / n))
     text = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).where(~held_out_column())
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).withColumn("unlabelled", F.lit(1))
-    samples = labelled_sample(labels.where("toxic = 1"), "toxic", positives).unionByName(labelled_sample(ids, "unlabelled", unlabelled, seed=23).withColumn("label", F.lit(0)))
-    sample = cut(map_arrow(text.join(F.broadcast(samples), "doc_id").select("text", "label"), _buckets, "label int, buckets array<int>").distinct())
+    samples = labelled_sample(labels.where("toxic = 1"), "toxic", positives).unionByName(few_ids(docs, unlabelled, 23).withColumn("label", F.lit(0)))
+    rows = one_text(text.join(F.broadcast(samples), "doc_id"), "label").select("text", "label")
+    sample = cut(map_arrow(rows, _buckets, "label int, buckets array<int>").distinct())
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if not (size.get(0) and size.get(1)):
         return none
