@@ -3,15 +3,16 @@
 Method: first-fit decreasing with a tournament tree over bin capacities, run
 independently in randomised groups of documents.
 
-A task buffers the documents of its partition up to ``buffer_tokens``; a seeded hash of
-each id deals the buffered documents into groups of about ``group_tokens``, and every
-group is packed by itself.  Nothing is shuffled: token ids stay in the task that made
-them, and memory is bounded by the buffer (plus one document).
+One pass tokenises whole texts and leaves a small row per document: its number of tokens and
+the checksums of the pieces that it can be cut into.  Those rows, not token ids, are dealt
+at random over the whole corpus into groups of about ``group_tokens``, and every group is
+packed by itself, so like documents that stand together in the input are spread.
 
-In a group, a document of at least ``length`` tokens gives full sequences first; what is
-left, and shorter documents, go first-fit decreasing into bins.  A bin with little room
-left is padded.  One with more than 1/``SLACK`` free (a few per group) has its content cut at
-powers of two instead, where sequences need no padding.
+A document is cut at multiples of ``length``; what is left, and a shorter document, goes
+first-fit decreasing into a bin.  A bin with little room left is padded.  One with more than
+1/``SLACK`` free (a few per group) is undone: its documents are cut into powers of two,
+largest first, and those fill sequences whose sizes are the powers of two that add up to the
+bin's content; such sequences need no padding.
 
 Defined cases: a null or empty text gives one piece, the end token alone; repeated rows
 are packed once each; ties in size keep the order of the rows; an empty table gives no rows.
@@ -27,14 +28,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skein.llm.common import cut, slices
 
 LENGTH = 4096
 END = 2
-#: Memory and grouping: tokens that a task holds at once, tokens of a group, words whose ids a task keeps.
-BUFFER_TOKENS, GROUP_TOKENS, CACHE_WORDS = 4 << 20, 1 << 20, 450_000
+#: Tokens of a group, words whose ids a task keeps.
+GROUP_TOKENS, CACHE_WORDS = 1 << 20, 450_000
 #: A bin with at most 1/SLACK free is padded as it is.
 SLACK = 128
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 
 
 @functools.cache
@@ -44,7 +47,22 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    made = Tokenizer.from_file(path)
+    _check_words(made)
+    return made
+
+
+def _check_words(tokenizer) -> None:
+    """An error unless a text's ids are its words' ids in order, as ``WordIds`` takes for granted."""
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    words = ["a", "the", "The", "don't", "12.5", "x-y", ".", "...", "é", "日本", "👍🏽", "\u0301a", "(", "ing", "'s", "\xa0b"]
+    words += [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content.split() == [t.content]]
+    for space in (" ", "\n", "  ", "\t "):
+        for a, b in zip(words, words[1:] + words[:1]):
+            if ids(space + a + space + b + space) != ids(a) + ids(b):
+                raise ValueError(f"the tokenizer's ids of {a!r} and {b!r} depend on white space")
+    if any(t.content.split() != [t.content] for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("the tokenizer has tokens with white space")
 
 
 class WordIds(dict):
@@ -131,18 +149,22 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def pack_group(tokens: list[int], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of one group; sequences count from 0."""
-    pieces: list[tuple[int, int, int, int, int]] = []
+def powers(n: int) -> list[int]:
+    """The powers of two that add up to ``n``, largest first."""
+    return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
+
+
+def pack_group(tokens: list[int], length: int = LENGTH) -> list[tuple[int, int, int, int, int, int]]:
+    """Pieces (document, its piece's place in ``cuts``, start, length, sequence, offset) of one group; sequences count from 0."""
+    pieces: list[tuple[int, int, int, int, int, int]] = []
     sequence = 0
-    rest_doc, rest_start, rest_size = [], [], []
+    rest_doc, rest_size = [], []
     for doc, n in enumerate(tokens):
-        for start in range(0, n - length + 1, length):
-            pieces.append((doc, start, length, sequence, 0))
+        for i in range(n // length):
+            pieces.append((doc, i, i * length, length, sequence, 0))
             sequence += 1
         if n % length:
             rest_doc.append(doc)
-            rest_start.append(n - n % length)
             rest_size.append(n % length)
     if not rest_doc:
         return pieces
@@ -151,77 +173,83 @@ def pack_group(tokens: list[int], length: int = LENGTH) -> list[tuple[int, int,
     for i, b in enumerate(bins.tolist()):
         held.setdefault(b, []).append(i)
     for b in sorted(held):
-        fill = sum(rest_size[i] for i in held[b])
-        ends = [fill] if length - fill <= length // SLACK else [1 << k for k in range(length.bit_length(), -1, -1) if fill >> k & 1]
-        left = list(ends)
-        offset = 0
+        fill, offset = sum(rest_size[i] for i in held[b]), 0
+        if length - fill <= length // SLACK:
+            for i in held[b]:
+                n = tokens[rest_doc[i]]
+                pieces.append((rest_doc[i], n // length, n - rest_size[i], rest_size[i], sequence, offset))
+                offset += rest_size[i]
+            sequence += 1
+            continue
+        small = []
         for i in held[b]:
-            start, need = rest_start[i], rest_size[i]
-            while need:
-                take = min(need, left[0] - offset)
-                pieces.append((rest_doc[i], start, take, sequence, offset))
-                start, need, offset = start + take, need - take, offset + take
-                if offset == left[0]:
-                    left.pop(0)
-                    sequence, offset = sequence + 1, 0
+            start = tokens[rest_doc[i]] - rest_size[i]
+            for k, size in enumerate(powers(rest_size[i])):
+                small.append((-size, rest_doc[i], tokens[rest_doc[i]] // length + 1 + k, start))
+                start += size
+        ends = powers(fill)  # powers of two in falling order fill falling powers of two exactly
+        for size, doc, place, start in sorted(small):
+            pieces.append((doc, place, start, -size, sequence, offset))
+            offset -= size
+            if offset == ends[0]:
+                ends.pop(0)
+                sequence, offset = sequence + 1, 0
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, buffer_tokens: int = BUFFER_TOKENS, group_tokens: int = GROUP_TOKENS, seed: int = 11) -> DataFrame:
-    """One row per piece of ``docs`` (doc_id, text); see the module's docstring.
+def checksums(ids: bytes, length: int = LENGTH) -> list[int]:
+    """crc32 of each full sequence of little-endian 32-bit ``ids``, of the rest, and of the rest's powers of two; no rest, no more."""
+    view, n = memoryview(ids), len(ids) // 4
+    full = n - n % length
+    out = [zlib.crc32(view[4 * at : 4 * (at + length)]) for at in range(0, full, length)]
+    if full < n:
+        out.append(zlib.crc32(view[4 * full :]))
+        at = full
+        for size in powers(n - full):
+            out.append(zlib.crc32(view[4 * at : 4 * (at + size)]))
+            at += size
+    return out
 
-    ``tokenizer`` is the path of a ``tokenizers`` file that every executor can read.
-    ``sequence_id`` is the task's partition number times 2^33 plus a count, so it is the
-    same when a lost task runs again.
-    """
+
+def lengths(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -> DataFrame:
+    """``(doc_id, n, sums)`` for every whole text of ``docs``: its tokens (with the end token) and their ``checksums``."""
     tail = np.asarray([end], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        from skein.llm.common import slices
-
-        context = TaskContext.get()
-        base = [(context.partitionId() if context else 0) << 33]
         words = WordIds(tokenizer)
-        ids_of: list = []
-        held: list[bytes] = []
-        tokens = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            groups = max(1, round(sum(map(len, held)) / 4 / group_tokens))
-            dealt: list[list[int]] = [[] for _ in range(groups)]
-            for i, doc in enumerate(ids_of):
-                dealt[zlib.crc32(f"{seed}:{doc}:{i}".encode()) % groups].append(i)
-            for members in dealt:
-                if not members:
-                    continue
-                rows = pack_group([len(held[i]) // 4 for i in members], length)
-                doc = [members[r[0]] for r in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids_of[i] for i in doc], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.int64()),
-                        pa.array([zlib.crc32(held[i][4 * r[1] : 4 * (r[1] + r[2])]) for i, r in zip(doc, rows)], pa.int64()),
-                        pa.array([len(held[i]) // 4 for i in doc], pa.int64()),
-                        pa.array([base[0] + r[3] for r in rows], pa.int64()),
-                        pa.array([r[4] for r in rows], pa.int64()),
-                    ],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-                )
-                base[0] += 1 + max(r[3] for r in rows)
-
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                for doc, ids in zip(part.column("doc_id").to_pylist(), words.texts(part.column("text"))):
-                    ids_of.append(doc)
-                    held.append(ids + tail)
-                    tokens += len(ids) // 4 + 1
-                    if tokens >= buffer_tokens:
-                        yield from flush()
-                        ids_of, held, tokens = [], [], 0
-        words.clear()
-        yield from flush()
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+                ids = [i + tail for i in words.texts(part.column("text"))]
+                sums = pa.array([checksums(i, length) for i in ids], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), sums], names=["doc_id", "n", "sums"])
+
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n long, sums array<long>")
+
+
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, group_tokens: int = GROUP_TOKENS, seed: int = 11) -> DataFrame:
+    """One row per piece of ``docs`` (doc_id, text); see the module's docstring.
+
+    ``tokenizer`` is the path of a ``tokenizers`` file that every executor can read; ``length`` is
+    a power of two.  The rows of ``lengths`` are numbered as they are written, once; the number
+    decides a row's group, so a lost task's second run gives the same rows.  ``sequence_id`` is the group
+    times 2^33 plus a count.
+    """
+    rows = cut(lengths(docs, tokenizer, length, end).withColumn("row", F.monotonically_increasing_id()))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    groups = max(1, round(total / group_tokens))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
+        tokens, sums = rows["n"].to_pylist(), rows["sums"].combine_chunks()
+        doc, place, start, size, sequence, offset = (np.array(c, np.int64) for c in zip(*pack_group(tokens, length)))
+        values = sums.flatten().to_numpy()[(sums.offsets.to_numpy() - sums.offsets[0].as_py())[doc] + place]
+        base = rows["group"][0].as_py() << 33
+        columns = [rows["doc_id"].take(pa.array(doc)), start, size, values, np.array(tokens, np.int64)[doc], base + sequence, offset]
+        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(groups)))
+    return dealt.groupBy("group").applyInArrow(run, SCHEMA)
+
+
+#: Columns of the pieces.
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.llm import boosting, html, packing, pii, quality, secrets, sentencepiece, simhash, topk, toxicity, urls
+from skein.llm import boosting, common, html, packing, pii, quality, secrets, sentencepiece, simhash, topk, toxicity, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 LABEL = "doc_id long, quality int, toxic int"
@@ -80,6 +81,19 @@ def test_trees_learn_and_stay_monotone():
         assert (sign * steps >= -1e-12).all()
 
 
+def test_flat_trees_equal_a_walk():
+    q = np.random.default_rng(5)
+    x, y = q.normal(size=(400, 4)), (q.random(400) < 0.4).astype(float)
+    forest = boosting.train(np.round(x, 1), y, [0, 1, 0, -1], trees=12)
+    for row, got in zip(np.round(x, 1), forest.score(np.round(x, 1))):
+        z = forest.base
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+            z += forest.value[node]
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-12
+
+
 def test_quality_learns_and_keeps_columns(spark):
     texts = [prose(i, 60) for i in range(60)] + [" ".join(f"{w}###" for w in prose(i, 60).split()) for i in range(60)]
     table = docs(spark, texts)
@@ -116,6 +130,42 @@ def test_nonnegative_risk_does_not_collapse():
     assert np.isfinite(w).all() and abs(b) < 30
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.floats(-4, 4), min_size=1, max_size=6), st.lists(st.floats(-4, 4), min_size=1, max_size=6), st.floats(0.05, 0.9))
+def test_risk_and_its_slopes_equal_the_formula(zp, zu, prior):
+    loss = lambda z, y: math.log1p(math.exp(-z if y else z))
+    mean = lambda zs, y: sum(loss(z, y) for z in zs) / len(zs)
+    zp, zu = np.array(zp), np.array(zu)
+    positive, negative = toxicity.risks(zp, zu, prior)
+    assert abs(positive - prior * mean(zp, 1)) < 1e-9 and abs(negative - (mean(zu, 0) - prior * mean(zp, 0))) < 1e-9
+    lowered = (lambda a, b: sum(toxicity.risks(a, b, prior))) if negative >= 0 else (lambda a, b: -toxicity.risks(a, b, prior)[1])
+    got = np.concatenate(toxicity.slopes(zp, zu, prior))
+    both, step = np.concatenate([zp, zu]), 1e-5
+    for i in range(len(both)):
+        up, down = both.copy(), both.copy()
+        up[i] += step
+        down[i] -= step
+        assert abs((lowered(up[: len(zp)], up[len(zp) :]) - lowered(down[: len(zp)], down[len(zp) :])) / (2 * step) - got[i]) < 1e-5
+
+
+def test_scores_are_the_sum_of_a_texts_weights(spark):
+    model = toxicity.Model({b: 0.01 * (k % 7 - 2) for k, w in enumerate(VOCABULARY) for b in toxicity.word_features(w.encode())}, -0.5)
+    texts = [*ODD, prose(3, 80), "(" + prose(4, 30) + ")!"]
+    for t, row in zip(texts, toxicity.score(docs(spark, texts), model).collect()):
+        buckets = {b for w in words_of((t or "").encode().lower().decode()) for b in toxicity.word_features(w.encode().strip(toxicity._PUNCTUATION))}
+        z = model.bias + sum(model.weight.get(b, 0) for b in buckets)
+        assert abs(row["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_samples_stay_bounded_where_ids_repeat(spark):
+    table = docs(spark, [prose(i % 7, 30) for i in range(500)], [1] * 300 + list(range(2, 202)))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 202)], LABEL)
+    chosen = table.join(common.labelled_sample(labels, "quality", 50), "doc_id")
+    assert common.one_text(chosen.select("doc_id", "label", "text"), "label").count() <= 50
+    assert common.few_ids(table, 20, 3).count() == 20 and common.few_ids(table, 10_000, 3).distinct().count() == common.few_ids(table, 10_000, 3).count()
+    assert quality.fit(table, labels, 50).depth and toxicity.fit(table, labels, 20, 20)
+
+
 # --- html ---------------------------------------------------------------------------------
 
 
@@ -239,6 +289,41 @@ def test_packing_is_exact(spark):
     assert padded <= 0.02 * fill.sum()
 
 
+def test_groups_are_dealt_over_the_whole_table(spark):
+    big = 2**60  # ids beyond 2^53 and a null in one group
+    table = docs(spark, [prose(i, 200) for i in range(40)], [None, *(big + i for i in range(1, 40))]).coalesce(1)
+    rows = packing.pack(table, TOKENIZER, length=256, group_tokens=4000).toPandas()
+    assert packing.pack(table, TOKENIZER, length=256, group_tokens=4000).where("start = 0").selectExpr("count(distinct doc_id) n").first()["n"] == 39
+    group = (rows.sequence_id // 2**33).astype(int)
+    assert group.nunique() > 3  # one task's rows go to many groups
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_pieces_cover_a_group(seed):
+    q = random.Random(seed)
+    tokens = [q.choice([1, 2, 63, 64, 65, 200, q.randint(1, 300)]) for _ in range(q.randint(1, 40))]
+    ids = [np.arange(n, dtype="<u4").tobytes() for n in tokens]
+    pieces = packing.pack_group(tokens, 64)
+    for d, n in enumerate(tokens):
+        own = sorted((p for p in pieces if p[0] == d), key=lambda p: p[2])
+        assert [p[2] for p in own] == np.cumsum([0, *(p[3] for p in own)])[:-1].tolist() and sum(p[3] for p in own) == n
+        assert all(packing.checksums(ids[d], 64)[p[1]] == zlib.crc32(ids[d][4 * p[2] : 4 * (p[2] + p[3])]) for p in own)
+    fill = {}
+    for p in sorted(pieces, key=lambda p: p[4:]):
+        assert p[5] == fill.get(p[4], 0)
+        fill[p[4]] = p[5] + p[3]
+    assert max(fill.values()) <= 64 and all(f & (f - 1) == 0 or f >= 64 - 64 // packing.SLACK for f in fill.values())
+
+
+def test_packing_refuses_a_tokenizer_that_joins_words():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    joined = Tokenizer(models.BPE({c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz ")} | {"a ": 30}, [("a", " ")]))
+    joined.pre_tokenizer = pre_tokenizers.Punctuation()
+    with pytest.raises(ValueError):
+        packing._check_words(joined)
+
+
 def test_packing_empty(spark):
     assert packing.pack(docs(spark, []), TOKENIZER).count() == 0
 
