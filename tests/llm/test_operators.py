@@ -239,25 +239,46 @@ def test_topk_equals_brute_force(spark, n, monkeypatch):
     assert sorted((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got) == slow_topk(rows)
 
 
-def test_topk_stops_early_and_stays_exact():
-    q = np.random.default_rng(0)
-    x = np.floor(q.normal(size=(3000, 16)) * 8)
-    ids = np.arange(3000)
-    early, full = topk.best(ids, x, ids[:64], x[:64], 20, (0.5, 0.8, 0.9)), topk.best(ids, x, ids[:64], x[:64], 20, ())
-    key = lambda t: sorted(zip(*(a.tolist() for a in t)))
-    assert key(early) == key(full)
+def plain_topk(x, queries, k=20):
+    scores = x[queries] @ x.T
+    scores[np.arange(len(queries)), queries] = -(2**62) if scores.dtype == np.int64 else -np.inf
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), scores.shape), -scores), axis=1)[:, :k]
+    return [(i, int(c), int(scores[i, c])) for i in range(len(queries)) for c in order[i] if c != queries[i]]
 
 
-@pytest.mark.parametrize("n, scale", [(60, 50), (900, 50), (900, 1 << 24)])
-def test_topk_closes_every_query_by_its_bounds(n, scale, monkeypatch):
+@pytest.mark.parametrize("n, scale, share", [(60, 8, 1.0), (500, 8, 0.99), (2000, 8, 0.9), (9000, 8, 0.8), (900, 1 << 24, 0.99)])
+def test_topk_closes_every_query_by_its_bounds(n, scale, share):
     q = np.random.default_rng(n)
-    x = np.floor(q.normal(size=(n, 64)) * scale)
-    x[n // 2 :] = x[: n - n // 2]  # ties
-    ids, real, full = np.arange(n), np.partition, []
-    want = topk.best(ids, x, ids[:40], x[:40], 20, ())
-    monkeypatch.setattr(np, "partition", lambda a, kth, axis=-1: (full.append(len(a)) if kth == n - 21 else None, real(a, kth, axis=axis))[1])
-    got = topk.best(ids, x, ids[:40], x[:40], 20)
-    assert not full and {*zip(*(a.tolist() for a in got))} == {*zip(*(a.tolist() for a in want))}
+    x = np.floor(q.normal(size=(n, 64)) * scale).astype(np.int64)
+    x[n // 2 : n // 2 + n // 8] = x[: n // 8]  # ties
+    queries, trace = np.arange(0, n, max(1, n // 40)), []
+    row, column, score = topk.best(np.arange(n), np.arange(n) + 7, x.astype(float), queries + 7, x[queries].astype(float), 20, trace=trace)
+    assert sorted(zip(row.tolist(), column.tolist(), map(int, score))) == sorted(plain_topk(x, queries))
+    cells = sum(stopped * rows for stopped, rows, _ in trace)
+    assert cells == len(queries) * n and sum(stopped * rows * depth for stopped, rows, depth in trace) <= share * cells
+
+
+@pytest.mark.parametrize("name, share, stopped", [("sf0.01", 0.95, 0.9), ("sf0.1", 0.9, 0.9)])
+def test_topk_shares_of_lists_read_on_the_tables(name, share, stopped):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"/root/testdata/{name}/embeddings.parquet").to_pandas()
+    x, ids, trace = np.floor(64 * np.array(table["embedding"].tolist(), np.float64)), table["vec_id"].to_numpy(), []
+    topk.best(ids, ids, x, ids[ids % 20 == 0], x[ids % 20 == 0], trace=trace)
+    later = [t for t in trace if t[1] > topk.SLICE or t[2] < 1]  # the first slice is read whole
+    assert sum(s * n * d for s, n, d in trace) <= share * sum(s * n for s, n, _ in trace)
+    assert sum(s for s, _, d in later if d < 1) >= stopped * sum(s for s, _, _ in later)
+
+
+def test_topk_repeated_rows_are_candidates_and_queries_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 0.5]), (20, [0.0, 1.0]), (3, [0.25, 0.25]), (3, [0.25, 0.25])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 3).collect()
+    x = [np.floor(64 * np.array(v)) for _, v in rows]
+    want = []
+    for i in (0, 1, 2, 3):
+        best = sorted((-int(x[i] @ x[c]), rows[c][0]) for c in range(6) if c != i)[:3]
+        want += [(rows[i][0], n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert sorted((g["query_id"], g["rank"], g["vec_id"], g["score"]) for g in got) == sorted(want)
 
 
 def test_topk_large_components(spark):
