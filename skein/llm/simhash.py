@@ -30,14 +30,17 @@ an id take part, and a group of none but such rows has a null component.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from skein.llm.common import cut, map_arrow
+from skein.llm.common import cut, map_arrow, slices
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Tiles at least and at most, fingerprints of a tile between these, rows and columns compared at once.
@@ -178,14 +181,14 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(fp, least)``: the smallest ``nodes.least`` reachable over ``edges``, for fingerprints with an edge.
+    """``(fp, root, least)``: the smallest fingerprint and the smallest ``nodes.least`` reachable over ``edges``, for fingerprints with an edge.
 
     Each round takes the smallest label among neighbours, then the label of the label's
     own fingerprint, so that long chains shorten fast; rounds end when no label changes.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     if not both.take(1):
-        return nodes.select("fp", "least").limit(0)
+        return nodes.select("fp", F.col("fp").alias("root"), "least").limit(0)
     label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("label")))
     while True:
         heard = both.join(label, both.b == label.fp).groupBy("a").agg(F.min("label").alias("heard"))
@@ -198,18 +201,25 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             break
     held = label.join(nodes.select("fp", "least"), "fp")
     least = held.groupBy("label").agg(F.min("least").alias("least"))
-    return label.join(least, "label").select("fp", "least")
+    return label.join(least, "label").select("fp", F.col("label").alias("root"), "least")
+
+
+def grouped(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fp, n, least, root, component_id)`` for each distinct fingerprint of ``rows`` (id, fp), materialised.
+
+    ``n`` rows have it, ``least`` is their smallest id; ``root`` names its group and ``component_id`` is the group's smallest id.
+    """
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    linked = components(links(nodes, radius), nodes)
+    return cut(nodes.join(linked.withColumnRenamed("least", "reach"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("reach", "least").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id") -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row of ``docs`` (id column, text)."""
     rows = cut(fingerprints(docs, id_column))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
-    linked = components(links(nodes, radius), nodes)
-    of = nodes.join(linked.withColumnRenamed("least", "reach"), "fp", "left").select("fp", "n", F.coalesce("reach", "least").alias("component_id"))
+    of = grouped(rows, radius)
     # a fingerprint with more than 1/HOT of all rows: there are fewer than HOT of them, so they may be broadcast
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    of = cut(of)
+    total = of.agg(F.sum("n")).first()[0] or 0
     hot = of.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot"))
     # a flag of its own tells the two apart: a group of none but rows without an id has a null component
     placed = rows.join(F.broadcast(hot), "fp", "left")
@@ -217,12 +227,38 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc
     return placed.where("is_hot").select("id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest).select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_fingerprints(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``__fp``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(part.schema.get_field_index("text")).cast(pa.string()).cast(pa.binary()).to_pylist()
+                fps = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps, pa.int64())], names=[*part.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("__fp", LongType())]))
+
+
 def deduplicate(docs: DataFrame, radius: int = RADIUS, id_column: str = "doc_id") -> DataFrame:
-    """One row of each group of near duplicates: that with the smallest id; rows without an id stay.
+    """One row of each group of near duplicates: that with the smallest id, then the smallest fingerprint; rows without an id come last.
 
-    Rows that repeat that id count as exact copies, of which one stays.
+    Rows are told apart by id and fingerprint, so rows that repeat an id with another text
+    are judged each by itself.  Of rows equal in both, one stays.
     """
-    found = near_duplicates(docs.where(F.col(id_column).isNotNull()), radius, id_column)
-    kept = found.where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    named = docs.where(F.col(id_column).isNotNull()).join(kept, id_column, "left_semi").dropDuplicates([id_column])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_column).isNull()))
+    rows = cut(fingerprints(docs, id_column))
+    of = grouped(rows, radius)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp")).alias("first")
+    kept = cut(of.groupBy("root").agg(first).select("first.id", "first.fp"))
+    # ids that stand in one row need no fingerprint to find it again
+    odd = cut(rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    some_odd, some_null = bool(odd.take(1)), bool(rows.where(F.col("id").isNull()).take(1))
+    plain = kept.where(F.col("id").isNotNull())
+    out = docs.join((plain.join(odd, "id", "left_anti") if some_odd else plain).select(F.col("id").alias(id_column)), id_column, "left_semi").select(*docs.columns)
+    parts = ([docs.join(odd.select(F.col("id").alias(id_column)), id_column, "left_semi").select(*docs.columns)] if some_odd else []) + ([docs.where(F.col(id_column).isNull())] if some_null else [])
+    for part in parts:
+        marked = _with_fingerprints(part)
+        own = kept.select(F.col("id").alias("__id"), F.col("fp").alias("__kept"))
+        held = marked.join(own, marked[id_column].eqNullSafe(own["__id"]) & (marked["__fp"] == own["__kept"]), "left_semi")
+        out = out.unionByName(held.dropDuplicates([id_column, "__fp"]).select(*docs.columns))
+    return out

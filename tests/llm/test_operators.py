@@ -495,6 +495,31 @@ def test_deduplicate(spark):
     assert kept.columns == table.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 1), (False, 7), (True, None)]
 
 
+def slow_deduplicate(rows):
+    """Ids and texts that stay, by brute force; rows without an id come last."""
+    fps = [slow_fingerprint(t or "") for _, t in rows]
+    group = slow_components(fps, list(range(len(rows))))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, fps[i] - (1 << 64) * (fps[i] >> 63)))
+    first = {}
+    for i in order:
+        first.setdefault(group[i], i)
+    return sorted((str(rows[i][0]), fps[i]) for i in first.values())
+
+
+A, W, Q = prose(51, 80), prose(52, 80), prose(53, 80)
+
+
+@pytest.mark.parametrize("rows", [
+    [(3, A), (3, W), (7, W), (7, Q)], [(1, A), (1, A), (1, W), (2, W), (None, Q), (None, Q), (None, A)],
+    [(None, None), (None, ""), (5, " ")], [(9, A), (9, W), (9, Q), (4, Q)], [(None, A)], [],
+])
+def test_deduplicate_loses_no_text(spark, rows):
+    table = docs(spark, [t for _, t in rows], [i for i, _ in rows] or None)
+    kept = simhash.deduplicate(table)
+    assert kept.columns == table.columns
+    assert sorted((str(r["doc_id"]), slow_fingerprint(r["text"] or "")) for r in kept.collect()) == slow_deduplicate(rows)
+
+
 # --- URLs ---------------------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://", "http://a.org", "http://a.org/", "HTTP://X.Example.ORG/es/1?q#f", "https://example.org/en/15", "https://example.org/en/2", "http://b.example.org/en/1x", "http://myexample.org/es/", "http://s.com/fr/a", "http://s.com/de/", "http://s.com/FR/", "http://cheap-pills.net/x", "http://a.com:80/fr/", "http://ORG/a", "a://b://c.org/x", "http://é.com/de/é"]
