@@ -1,15 +1,20 @@
 """Secrets: base patterns, and owner-specific tokens by corpus-wide frequency.
 
 Method: every candidate's hash is aggregated over the whole corpus by distinct repositories
-and owners.  A value that many of them share is a widely copied example; one that a single
-owner has is a live-looking credential.  All of it is DataFrame functions: no Python runs
+and owners.  A value that several owners or many repositories of one owner share is a widely copied example; one that a single
+owner has in a few places is a live-looking credential.  All of it is DataFrame functions: no Python runs
 on the executors.
 
+The verdict decides which further spans are added, is shown for base spans too (``live``), and
+says what ``redact`` masks.  In the tables here a document's ``source`` is its owner, and its source and
+language together are its repository.
+
 One pass over the texts finds matches and the lengths of what lies between them (``split``
-and ``regexp_extract_all`` with the same pattern); texts aren't shuffled.  Only rows with
+and ``regexp_extract_all`` with the same pattern); texts aren't shuffled.  A plain substring test
+comes before each costly pattern.  Only rows with
 matches go on, as numbers and short strings, where a window turns lengths into offsets in
 code points.  Hashes are counted in two steps, (hash, repository, owner) and then hash, so a
-hot value is pre-aggregated before each shuffle.
+hot value is pre-aggregated before each shuffle; verdicts of hot values reach their spans by a broadcast.
 
 Defined cases: a null or empty text has no spans; a null repository or owner counts as
 one of its own; repeated rows are scanned alike, and count once; an empty table gives no rows.
@@ -17,6 +22,9 @@ one of its own; repeated rows are scanned alike, and count once; an empty table
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +41,23 @@ TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[
 #: A value in more repositories or owners than this is a copied example.
 MOST_REPOSITORIES, MOST_OWNERS = 2, 1
 KINDS = [*BASE, "token"]
+#: A value of more than 1/HOT of all spans gets its verdict by a broadcast.
+HOT = 1024
+#: What a text must hold, lower-cased or as it is, for a pattern to fit; a cheap test before the pattern.
+_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_RUN = "[A-Za-z0-9_+/=-]{20,}+"
+
+
+def _may(text: Column, kind: str) -> Column:
+    """Whether the kind's pattern can fit at all; true wherever it does."""
+    if kind == "assign":
+        low = F.lower(text)
+        return (F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))) & reduce(or_, (F.contains(low, F.lit(w)) for w in _WORDS))
+    return F.contains(text, F.lit("AKIA")) if kind == "access" else text.rlike("[0-9a-f]{24}") if kind == "hex" else text.rlike(_RUN)
+
+
+def _fits(text: Column, kind: str) -> Column:
+    return _may(text, kind) & text.rlike(BASE[kind][0] if kind in BASE else TOKEN)
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -44,18 +69,19 @@ def _matches(text: Column, kind: str) -> Column:
     zipped = F.arrays_zip(whole.alias("w"), tested.alias("t"), F.slice(gaps, 1, F.size(gaps) - 1).alias("g"))
     made = F.transform(zipped, lambda m: F.struct(F.lit(kind).alias("kind"), F.length(m["g"]).alias("gap"), F.length(m["w"]).alias("length"), m["t"].alias("value")))
     empty = F.array().cast("array<struct<kind:string,gap:int,length:int,value:string>>")
-    return F.when(text.rlike(pattern), made).otherwise(empty)
+    return F.when(_fits(text, kind), made).otherwise(empty)
 
 
-def scan(docs: DataFrame, repository: str, owner: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Rows with a number each (made here, unless ``extra`` names a ``row`` column), and the spans found in them ``(row, kind, start, end, value, at)``."""
+def _named(columns: tuple[str, ...]) -> Column:
+    """One text for several columns; nulls are told from texts."""
+    return F.to_json(F.array(*(F.col(c).cast("string") for c in columns))) if len(columns) > 1 else F.col(columns[0]).cast("string")
+
+
+def scan(docs: DataFrame, repository: tuple[str, ...], owner: tuple[str, ...], *extra: Column | str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a number each and the ``extra`` columns, and the spans found in them ``(row, repository, owner, kind, start, end, value)``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        *(() if "row" in extra else (F.monotonically_increasing_id().alias("row"),)), *extra,
-        F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"),
-        F.concat(*(_matches(text, k) for k in KINDS)).alias("found"),
-    )
-    rows = cut(rows)
+    found = F.concat(*(_matches(text, k) for k in KINDS)).alias("found")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), *extra, _named(repository).alias("repository"), _named(owner).alias("owner"), found))
     each = rows.where(F.size("found") > 0).select("row", "repository", "owner", F.posexplode("found").alias("n", "m")).select("row", "repository", "owner", "n", "m.*")
     before = Window.partitionBy("row", "kind").orderBy("n")
     end = F.sum(F.col("gap") + F.col("length")).over(before.rowsBetween(Window.unboundedPreceding, 0))
@@ -79,13 +105,22 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def judged(spans: DataFrame, most_repositories: int = MOST_REPOSITORIES, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """``spans`` with ``live``: false where the value is a widely copied example."""
-    copied = ownership(spans).where((F.col("repositories") > most_repositories) | (F.col("owners") > most_owners)).select("hash", F.lit(False).alias("live"))
-    return spans.withColumn("hash", F.sha2("value", 256)).join(copied, "hash", "left").withColumn("live", F.coalesce("live", F.lit(True)))
+    """``spans`` with ``hash`` and ``live``: false where the value is a widely copied example.
+
+    A value of more than 1/``HOT`` of all spans may be joined by a broadcast, as there are fewer than
+    ``HOT`` of them; all others are joined by a shuffle that no value can fill.
+    """
+    found = ownership(spans).withColumn("live", (F.col("repositories") <= most_repositories) & (F.col("owners") <= most_owners))
+    counted = cut(found.select("hash", "n", "live"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT > total
+    placed = spans.withColumn("hash", F.sha2("value", 256)).join(F.broadcast(counted.where(is_hot).select("hash", F.col("live").alias("hot"))), "hash", "left")
+    rest = placed.where("hot is null").join(counted.where(~is_hot).select("hash", "live"), "hash").drop("hot")
+    return placed.where("hot is not null").withColumnRenamed("hot", "live").unionByName(rest)
 
 
 def _assembled(spans: DataFrame) -> DataFrame:
-    """Per row: counts, the base spans' text and all spans' text, in order of start, then kind."""
+    """Per row: counts, and the texts of base spans, of all spans and of live ones, in order of start, then kind."""
     number = F.lit(len(KINDS))
     for i, k in enumerate(KINDS):
         number = F.when(F.col("kind") == k, i).otherwise(number)
@@ -94,7 +129,7 @@ def _assembled(spans: DataFrame) -> DataFrame:
     joined = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, item))), lambda x: x["s"]), ",")
     return spans.groupBy("row").agg(
         *(F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in BASE),
-        joined(base).alias("base"), joined(F.lit(True)).alias("spans"),
+        joined(base).alias("base"), joined(F.lit(True)).alias("spans"), joined(F.col("live")).alias("live"),
     )
 
 
@@ -107,41 +142,41 @@ def added(spans: DataFrame) -> DataFrame:
     return base.unionByName(free)
 
 
-def find(docs: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): counts of the base kinds, their digest, and all spans."""
-    rows, spans = scan(docs, repository, owner, ("doc_id",))
-    per_row = _assembled(added(judged(spans)))
+def find(docs: DataFrame, repository: tuple[str, ...] = ("source", "lang"), owner: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): counts of the base kinds, their digest, all spans, and those whose value is live-looking."""
+    rows, spans = scan(docs, repository, owner, "doc_id")
+    per_row = _assembled(added(cut(judged(spans))))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    blank = lambda c: F.coalesce(c, F.lit(""))
     return rows.select("row", "doc_id").join(per_row, "row", "left").select(
-        "doc_id", *(zero(f"n_{k}") for k in BASE), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
+        "doc_id", *(zero(f"n_{k}") for k in BASE), F.sha2(blank("base"), 256).alias("base_sha256"), blank("spans").alias("spans"), blank("live").alias("live"),
     )
 
 
-def redact(docs: DataFrame, mask: str = "<secret>", repository: str = "source", owner: str = "source") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "<secret>", repository: tuple[str, ...] = ("source", "lang"), owner: tuple[str, ...] = ("source",)) -> DataFrame:
     """``docs`` with live-looking values replaced by ``mask``; copied examples and all other text stay.
 
-    ``n_chars``, where ``docs`` has it, follows the new text.  Values are matched by the same
-    patterns, so no offset is needed: a small table of copied values is joined back to the few
-    rows that have matches, and all other rows pass without a shuffle.
+    ``n_chars``, where ``docs`` has it, follows the new text.  The one pass of the patterns keeps the
+    rows that have matches, with their texts; all other rows pass without a shuffle after the cheap
+    tests that ``_may`` makes.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    some = text.rlike("|".join(f"(?:{p})" for p, _, _ in BASE.values()) + f"|(?:{TOKEN})")
-    quiet, loud = docs.where(~some), docs.where(some)
-    whole = loud.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
-    whole = cut(whole)
-    named = whole.select("row", F.col("doc.text").alias("text"), F.col(f"doc.{repository}").alias("repository"), F.col(f"doc.{owner}").alias("owner"))
-    spans = judged(scan(named, "repository", "owner", ("row",))[1]).where("live").select("row", (F.col("end") - F.length("value")).alias("start"), "end")
+    some = reduce(or_, (_may(text, k) for k in KINDS))
+    rows, spans = scan(docs.where(some), repository, owner, F.struct(*docs.columns).alias("doc"))
+    spans = judged(spans).where("live").select("row", (F.col("end") - F.length("value")).alias("start"), "end")
     order = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))
     merged = islands.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     lists = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     body = F.col("doc.text").cast("string")
-    kept = F.transform("cuts", lambda c, i: F.substring(body, F.when(i == 0, 1).otherwise(F.get("cuts", i - 1)["end"] + 1).cast("int"), (c["start"] - F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["end"])).cast("int")))
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["end"])
+    kept = F.transform("cuts", lambda c, i: F.substring(body, (before(i) + 1).cast("int"), (c["start"] - before(i)).cast("int")))
     tail = F.substring(body, (F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length(body))
     text = F.when(F.col("cuts").isNull(), body).otherwise(F.concat(F.array_join(kept, mask), F.lit(mask), tail))
-    new = whole.join(lists, "row", "left").withColumn("new", text)
+    new = rows.where(F.size("found") > 0).select("row", "doc").join(lists, "row", "left").withColumn("new", text)
     fields = {c: F.col(f"doc.`{c}`").alias(c) for c in docs.columns} | {"text": F.col("new").alias("text")}
     if "n_chars" in docs.columns:
         fields["n_chars"] = F.when(F.col("cuts").isNull(), F.col("doc.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
-    return quiet.unionByName(new.select(*fields.values()))
+    quiet = rows.where(F.size("found") == 0).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+    return docs.where(~some).unionByName(quiet).unionByName(new.select(*fields.values()))

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skein.llm import boosting, common, html, packing, pii, quality, secrets, sentencepiece, simhash, topk, toxicity, urls
 
@@ -582,6 +583,42 @@ def test_secrets_equal_the_patterns(spark):
     assert secrets.find(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_ownership_and_verdicts_equal_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(secrets, "HOT", hot)
+    q = random.Random(hot)
+    rows = [(n, "hex", 0, 1, q.choice("aaaaaaaabcdefgh"), q.choice(["r1", "r2", "r3", None]), q.choice(["o1", None]) if q.random() < 0.3 else "o1") for n in range(400)]
+    rows += [(n, "hex", 0, 1, f"own{n % 5}", f"r{n % 5}", f"o{n % 5}") for n in range(400, 900)]
+    spans = spark.createDataFrame(rows, "row long, kind string, start int, end int, value string, repository string, owner string")
+    want = {}
+    for _, _, _, _, v, r_, o in rows:
+        want.setdefault(v, [set(), set(), 0])
+        want[v][0].add(r_), want[v][1].add(o)
+        want[v][2] += 1
+    sha = {hashlib.sha256(v.encode()).hexdigest(): v for v in want}
+    got = {sha[x["hash"]]: (x["repositories"], x["owners"], x["n"]) for x in secrets.ownership(spans).collect()}
+    assert got == {v: (len(a), len(b), n) for v, (a, b, n) in want.items()}
+    judged = secrets.judged(spans).collect()
+    assert sorted(x["row"] for x in judged) == list(range(900))
+    assert all(x["live"] == (len(want[x["value"]][0]) <= 2 and len(want[x["value"]][1]) <= 1) for x in judged)
+
+
+def test_secret_verdicts_by_owner_and_repository(spark):
+    token, many = "sk_Live9a8b7c6d5e4f3g2h1i0j", "demoKey0Demo1Key2Demo3Key4"
+    rows = [(1, f"x {token} y", "en", "o1"), (2, f"x {token} y", "de", "o1"), (3, f"a {many}", "en", "o2"), (4, f"a {many}", "de", "o2"), (5, f"a {many}", "fr", "o2"), (6, f"token={HEX}", "en", "o1"), (7, f"token={HEX}", "en", "o3")]
+    got = {r["doc_id"]: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1]["spans"] == got[1]["live"] == f"token:2:{2 + len(token)}" == got[2]["spans"]  # two repositories of one owner
+    assert got[3]["spans"] == got[4]["spans"] == ""  # three repositories: a copied example
+    assert got[6]["spans"].count(":") == 4 and got[6]["live"] == ""  # base spans stay, and show that two owners have the value
+
+
+def test_cheap_tests_lose_no_match(spark):
+    texts = [*SECRETS, "PASSWORD : abcdefg", "Api_Key=KKabcdef", "TOKEN=abcdefg", "İtoken='x1234567", "a" * 24, "A1" * 10, "=" * 30]
+    flags = docs(spark, texts).selectExpr("doc_id", "coalesce(text, '') text").select("doc_id", *(f(F.col("text"), k).alias(f"{n}_{k}") for k in secrets.KINDS for n, f in (("may", secrets._may), ("fits", lambda t, k: t.rlike(secrets.BASE[k][0] if k in secrets.BASE else secrets.TOKEN)))))
+    for row in flags.collect():
+        assert all(row[f"may_{k}"] or not row[f"fits_{k}"] for k in secrets.KINDS), texts[row["doc_id"]]
+
+
 def test_redaction(spark):
     copied = "password=example123456"
     texts = [*ODD, f"é token = \"{HEX}\" and {KEY}", f"{copied} a", f"{copied} b", f"{copied} c", "secret=first99 secret=second88 é end"]
