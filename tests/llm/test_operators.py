@@ -211,11 +211,47 @@ def test_marginals_equal_enumeration():
     assert np.allclose(html.marginals(model, parent, level, x)[0], total / total.sum(axis=1, keepdims=True))
 
 
-def test_html_model_on_unseen_layouts(model):
-    pages = html.labelled_pages(60, seed=1234)
+@pytest.mark.parametrize("hinted, least", [(0.4, 0.95), (1.0, 0.96), (0.0, 0.95)])
+def test_html_model_on_unseen_layouts(model, hinted, least):
+    pages = html.labelled_pages(100, seed=1234, hinted=hinted)
     parent, level, x, _ = html.features(pages)
     y = np.array([v for p in pages for v in p.label])
-    assert ((html.marginals(model, parent, level, x)[0][:, 1] >= 0.5) == y).mean() > 0.93
+    assert ((html.marginals(model, parent, level, x)[0][:, 1] >= 0.5) == y).mean() > least
+
+
+def test_html_keeps_the_articles_of_the_tables_pages(model):
+    """The pages have one ``article`` each; menus, adverts, footers and comments are outside."""
+    import html as entities
+
+    import pyarrow.parquet as pq
+
+    sources = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    right = lost = more = 0
+    for source, text in zip(sources, html.extract(sources, model)):
+        article = re.search(r"(?s)<article>(.*?)</article>", source)[1]
+        blocks = [" ".join(entities.unescape(re.sub("<[^>]+>", lambda m: " " * (m[0] == "<br>"), b)).split()) for b in re.split(r"</?(?:p|h1|li|ul|div)\b[^>]*>", article)]
+        want, got = Counter(filter(None, blocks)), Counter(text.split("\n"))
+        right, lost, more = right + (want & got).total(), lost + (want - got).total(), more + (got - want).total()
+    assert right > 2000 and lost <= 0.002 * right and not more
+
+
+def test_html_foreign_elements_and_missing_ends(model):
+    said = ["A first paragraph, with words that are read.", "A second one, which goes on after it for a while."]
+    page = lambda between: f"<article><h1>Head of it</h1><p>{said[0]}</p>{between}<p>{said[1]}</p></article>"
+    for between in ('<svg class="i"/>', "<svg><text>no</text></svg>", "<svg>", "<template>", "<iframe>", "<template><p>no such text here</p></template>", "<title>", "</b></section></i>", "<style>p{}</style>"):
+        assert html.extract([page(between)], model)[0].split("\n") == ["Head of it", *said], between
+    assert html.extract([page("<noscript><p>Words for readers without it, too.</p></noscript>")], model)[0].split("\n")[2] == "Words for readers without it, too."
+    assert html.extract([page("<script>")], model)[0].split("\n") == ["Head of it", said[0]]
+
+
+def test_html_very_long_pages_take_linear_time(model):
+    import time
+
+    stray, deep = "</b></i></p></div></section>" * 8000, "<div>" * 40_000
+    for source in (stray + LONG, deep + LONG, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<svg>" * 40_000, "<p>" + "<a " * 40_000):
+        began = time.perf_counter()
+        html.extract([source], model)
+        assert time.perf_counter() - began < 2, source[:20]
 
 
 # --- top-k --------------------------------------------------------------------------------
