@@ -7,7 +7,9 @@ few as the rules).  A URL's tokens fetch candidate rules, and only those run.
 
 Site rules come first: a rule ``example.org/es/`` fits its host and all subdomains where the
 URL's path starts with the rule's; the longest one wins, then the first in order.  Where no
-site rule fits, the spam patterns decide, and a URL that none of them fits is allowed.
+site rule fits, the first other rule that fits decides, and a URL that none fits is allowed.
+Rules come from a text or file (``url_rules`` states the syntax and holds the default list).
+A rule without any literal token is tried on every URL.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no site
 rule and is allowed; repeated rows are judged alike; an empty table gives no rows.
@@ -19,9 +21,10 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm import url_rules
 from skein.llm.common import map_arrow
 
 _TOKEN = re.compile("[a-z0-9]+")
@@ -48,19 +51,35 @@ def site(verdict: str, name: str) -> Rule:
     return Rule(name, rf"(?:.*\.)?{re.escape(host)}", re.escape(slash + path), tuple(whole), verdict, True)
 
 
-#: Site rules of the query.
-SITES = (
-    site("allow", "org/"), site("block", "example.org/es/"), site("block", "example.org/en/1"),
-    site("allow", "com/fr/"), site("block", "com/de/"),
-)
-#: Spam patterns for URLs that no site rule fits: hosts (a label) and paths (a segment) of known kinds.
-SPAM = tuple(
-    Rule(f"spam-host:{w}", rf"(?:.*[.-])?{w}(?:[.-].*)?", "", tuple(_TOKEN.findall(w)), "block")
-    for w in ("cheap-pills", "spam-farm", "ads-track", "casino", "viagra", "porn", "xxx", "betting", "payday-loans", "click-bait", "malware", "phishing", "warez")
-) + tuple(
-    Rule(f"spam-path:{w}", ".*", rf"(?:.*[/_.-])?{w}(?:[/_.-]|$)", tuple(_TOKEN.findall(w)), "block")
-    for w in ("casino", "viagra", "porn", "xxx", "warez", "keygen", "payday-loans")
-)
+def parse_rules(text: str) -> tuple[Rule, ...]:
+    """The rules of a text in the syntax of ``url_rules``; a line that can't be read is an error."""
+    rules = []
+    for n, line in enumerate(text.split("\n"), 1):
+        line = line.partition("#")[0].split()
+        if not line:
+            continue
+        if len(line) != 3 or line[0] not in ("allow", "block") or line[1] not in ("site", "host", "path"):
+            raise ValueError(f"line {n} isn't a rule")
+        verdict, kind, pattern = line
+        if kind == "site":
+            rules.append(site(verdict, pattern))
+        elif kind == "host":
+            rules.append(Rule(f"host:{pattern}", rf"(?:.*[.-])?{re.escape(pattern)}(?:[.-].*)?", "", tuple(_TOKEN.findall(pattern)), verdict))
+        else:
+            rules.append(Rule(f"path:{pattern}", ".*", rf"(?:.*[/_.-])?{re.escape(pattern)}(?:[/_.-]|$)", tuple(_TOKEN.findall(pattern)), verdict))
+    return tuple(rules)
+
+
+def read_rules(spark: SparkSession, path: str, most: int = 1_000_000) -> tuple[Rule, ...]:
+    """The rules of text files, read by Spark in the order of their lines; they go to every task, so more than ``most`` lines are an error."""
+    lines = spark.read.text(path, wholetext=False).limit(most + 1).collect()
+    if len(lines) > most:
+        raise ValueError(f"more than {most} rules")
+    return parse_rules("\n".join(r[0] for r in lines))
+
+
+#: The query's rules: sites, and the words of unwanted hosts and paths.
+RULES = parse_rules(url_rules.DEFAULT)
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -77,15 +96,15 @@ def rarest(urls: DataFrame, rules: tuple[Rule, ...], column: str = "url") -> dic
 
 
 def index(rules: tuple[Rule, ...], count: dict[str, int]) -> dict[str, list[int]]:
-    """Rarest token to the numbers of the rules filed under it."""
+    """Rarest token to the numbers of the rules filed under it; those without a token under the empty one."""
     filed = defaultdict(list)
     for i, r in enumerate(rules):
-        filed[min(r.tokens, key=lambda t: (count.get(t, 0), t))].append(i)
+        filed[min(r.tokens, key=lambda t: (count.get(t, 0), t), default="")].append(i)
     return dict(filed)
 
 
-def judge(urls: DataFrame, rules: tuple[Rule, ...] = SITES + SPAM, id_column: str = "page_id", column: str = "url") -> DataFrame:
-    """``(id, host, path, rule, verdict)`` for every row; ``pattern`` names the spam pattern that decided, if one did."""
+def judge(urls: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "page_id", column: str = "url") -> DataFrame:
+    """``(id, host, path, rule, verdict)`` for every row; ``pattern`` names the other rule that decided, if one did."""
     filed = index(rules, rarest(urls, rules, column))
 
     def run(rows: dict) -> dict:
@@ -93,7 +112,7 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...] = SITES + SPAM, id_column: st
         out: dict[str, list] = {n: [] for n in ("host", "path", "rule", "verdict", "pattern")}
         for url in rows["url"]:
             host, path = parts(url)
-            fetched = sorted({i for t in set(_TOKEN.findall((url or "").lower())) & filed.keys() for i in filed[t]}) if host or path else []
+            fetched = sorted({i for t in {"", *_TOKEN.findall((url or "").lower())} & filed.keys() for i in filed[t]}) if host or path else []
             fits = [rules[i] for i in fetched if compiled[i][0].fullmatch(host) and compiled[i][1].match(path)]
             rule = max((r for r in fits if r.site), key=lambda r: len(r.name), default=None)
             spam = next((r for r in fits if not r.site), None) if rule is None else None
@@ -109,13 +128,14 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...] = SITES + SPAM, id_column: st
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for the verdicts of ``SITES`` and ``SPAM`` over ``pages``."""
+    """DuckDB SQL for the verdicts of ``RULES`` over ``pages``."""
+    sites, spam_rules = [r for r in RULES if r.site], [r for r in RULES if not r.site]
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    fit = {r.name: f"regexp_full_match(host, {quote('(?s:' + r.host + ')')})" + f" and regexp_matches(path, {quote('(?s)^(?:' + r.path + ')')})" * bool(r.path) for r in SITES + SPAM}
-    longest = sorted(SITES, key=lambda r: -len(r.name))
+    fit = {r.name: f"regexp_full_match(host, {quote('(?s:' + r.host + ')')})" + f" and regexp_matches(path, {quote('(?s)^(?:' + r.path + ')')})" * bool(r.path) for r in RULES}
+    longest = sorted(sites, key=lambda r: -len(r.name))
     rule = "case " + " ".join(f"when {fit[r.name]} then {quote(r.name)}" for r in longest) + " end"
-    spam = "case " + " ".join(f"when {fit[r.name]} then {quote(r.name)}" for r in SPAM) + " end"
-    verdict = "case " + " ".join(f"when rule = {quote(r.name)} then {quote(r.verdict)}" for r in SITES) + " when pattern is not null then 'block' else 'allow' end"
+    spam = "case " + " ".join(f"when {fit[r.name]} then {quote(r.name)}" for r in spam_rules) + " end"
+    verdict = "case " + " ".join(f"when rule = {quote(r.name)} then {quote(r.verdict)}" for r in sites) + " " + " ".join(f"when pattern = {quote(r.name)} then {quote(r.verdict)}" for r in spam_rules) + " else 'allow' end"
     return f"""
 with cut as (
   select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),

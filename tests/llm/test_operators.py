@@ -606,8 +606,27 @@ def test_urls(spark):
     assert urls.judge(table.limit(0)).count() == 0
 
 
+def test_url_rules_are_data(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("# mine\nblock host bad-word # a label\nallow site example.com/ok/\nblock path free\nblock site ü/\n")
+    rules = urls.read_rules(spark, str(tmp_path / "rules.txt"))
+    table = spark.createDataFrame([(i, u) for i, u in enumerate(["http://x.bad-word.com/", "http://bad-word.example.com/ok/a", "http://badword.com/a/free/b", "http://a.com/freeze", "http://a.ü/", "http://bad-words.com"])], "page_id long, url string")
+    got = urls.judge(table, rules).orderBy("page_id").collect()
+    assert [(g["verdict"], g["rule"] or g["pattern"]) for g in got] == [("block", "host:bad-word"), ("allow", "example.com/ok/"), ("block", "path:free"), ("allow", None), ("block", "ü/"), ("allow", None)]
+    with pytest.raises(ValueError):
+        urls.parse_rules("block everything")
+
+
+def test_url_recall_on_the_pages(spark):
+    """Hosts of the pages that advertise, sell pills, take bets and the like, against all others; site rules aside."""
+    kinds = "cheap-pills|spam-farm|ads-track|casino-win|free-bets|adult-x"
+    got = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), tuple(r for r in urls.RULES if not r.site))
+    row = got.select(F.col("host").rlike(kinds).alias("bad"), (F.col("verdict") == "block").alias("blocked")).groupBy("bad").agg(F.avg(F.col("blocked").cast("int")).alias("share")).collect()
+    share = {r["bad"]: r["share"] for r in row}
+    assert share[True] >= 0.9 and share[False] == 0
+
+
 def test_index_fetches_every_fitting_rule():
-    rules = urls.SITES + urls.SPAM
+    rules = urls.RULES
     for count in ({}, {"org": 9, "example": 1}, {"example": 9, "org": 1}):
         filed = urls.index(rules, count)
         assert sorted(i for ids in filed.values() for i in ids) == list(range(len(rules)))
