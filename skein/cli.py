@@ -5,18 +5,21 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein import log, shared
 from skein.operators import analytics, chunking, embed, expand, hybrid, ingest, keyword, links, metadata
 from skein.operators.store import ChunkStore
-from skein.session import ExpansionConfig, HybridConfig, NotFoundError, session
+from skein.session import ExpansionConfig, HybridConfig, KeywordConfig, NotFoundError, from_env, session
 from skein.sources import archive, wiki
 
 
-def _ids(spark: SparkSession, path: str | None, comments: bool = True) -> list[str] | None:
-    return archive.id_list(spark, path, comments) if path else None
+def _ids(spark: SparkSession, path: str | None, comments: bool = True) -> DataFrame | None:
+    return archive.id_table(spark, path, comments) if path else None
 
 
 def _embed(a: argparse.Namespace):
@@ -47,12 +50,12 @@ def build_test_bed(spark: SparkSession, a: argparse.Namespace) -> None:
     raw.unpersist()
 
 
-def _articles(spark: SparkSession, path: str, ids: list[str] | None) -> DataFrame:
+def _articles(spark: SparkSession, path: str, ids: DataFrame | None) -> DataFrame:
     """Articles of a Parquet table or of a Markdown archive."""
     if archive.files(spark, path).select("path").take(1):
         return archive.load(spark, path, ids)
     rows = spark.read.parquet(path)
-    return rows.where(F.col("wiki_id").isin(ids)) if ids else rows
+    return rows.join(ids.select(F.col("id").alias("wiki_id")), "wiki_id", "left_semi") if ids is not None else rows
 
 
 def run_ingest(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -76,24 +79,44 @@ def run_embed(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_store(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Embedded chunks into the store: new articles, and newer ones (or all with --force)."""
+    """Embedded chunks into the store: new articles, and newer ones (or all with --force).
+
+    Without a change nothing is written, unless the keyword index is missing; that it can't be made is a warning.
+    """
     store = ChunkStore(spark, a.store)
     rows = spark.read.parquet(a.embeddings).where("embedding is not null").withColumnRenamed("chunk_id", "id")
     versions = rows.groupBy(F.col("wiki_page_id").alias("wiki_id")).agg(F.min_by("article_last_updated", "chunk_index").alias("last_updated"))
     known = store.versions().withColumnRenamed("wiki_page_id", "wiki_id")
-    judged = ingest.changes(versions, known, "newer", a.force)
-    _show(judged.groupBy("action").count())
-    store.replace_articles(rows.join(judged.where("action <> 'skip'").select(F.col("wiki_id").alias("wiki_page_id")), "wiki_page_id", "left_semi"))
+    judged = shared.materialise(ingest.changes(versions, known, "newer", a.force))
+    counted = {r["action"]: r["count"] for r in judged.groupBy("action").count().collect()}
+    for action, n in sorted(counted.items()):
+        print(f"{action}\t{n}")
+    changed = bool(counted.keys() - {"skip"})
+    if changed:
+        store.replace_articles(rows.join(judged.where("action <> 'skip'").select(F.col("wiki_id").alias("wiki_page_id")), "wiki_page_id", "left_semi"))
+    elif not a.index or shared.exists(spark, f"{a.index}/stats/_SUCCESS"):
+        print("nothing to store")
+        return
     if a.index:
-        keyword.build(store.rows().withColumnRenamed("id", "chunk_id")).save(a.index)
+        try:
+            keyword.build(store.rows().withColumnRenamed("id", "chunk_id"), lowercase=from_env(KeywordConfig, "BM25_").tokenize_lowercase).save(a.index)
+        except Exception as e:  # the rows are stored; build-bm25 makes the index later
+            log.event("keyword_index_failed", error=str(e))
+            print(f"warning: the chunks are stored, but no keyword index could be made: {e}", file=sys.stderr)
+
+
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of a store or of a Parquet table."""
+    return ChunkStore(spark, path).rows() if shared.exists(spark, f"{path}/_manifests") else spark.read.parquet(path)
 
 
 def build_bm25(spark: SparkSession, a: argparse.Namespace) -> None:
     """A keyword index of chunks (a store, or a Parquet table of chunks)."""
-    rows = spark.read.parquet(a.chunks)
-    made = keyword.build(rows.withColumnRenamed("id", "chunk_id") if "id" in rows.columns else rows, lowercase=a.lowercase)
-    made.save(a.output)
-    _show(keyword.stats(keyword.load(spark, a.output)))
+    rows = _chunks(spark, a.chunks)
+    config = from_env(KeywordConfig, "BM25_")
+    made = keyword.build(rows.withColumnRenamed("id", "chunk_id") if "id" in rows.columns else rows, lowercase=a.lowercase or config.tokenize_lowercase)
+    made.save(a.output or config.index_path)
+    _show(keyword.stats(made))
 
 
 def stats_markdown(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -156,9 +179,9 @@ def retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
         raise NotFoundError("the store is empty")
     asked = spark.createDataFrame([(0, a.text)], "query_id long, text string")
     vector = embed.hashing(a.dimensions)()([a.text])[0]
-    hits = hybrid.retrieve(keyword.load(spark, a.index), rows, asked, {0: [float(v) for v in vector]}, HybridConfig(), a.top_k)
+    hits = hybrid.retrieve(keyword.load(spark, a.index), rows, asked, {0: [float(v) for v in vector]}, from_env(HybridConfig, "HYBRID_"), a.top_k, timed=a.timed)
     hits = hybrid.with_rows(hits, rows.select("chunk_id")).select("query_id", "chunk_id", "score", "rank")
-    found = expand.expand(hits, rows.select("chunk_id", "article_title", "chunk_index", "links"), ExpansionConfig(a.depth, a.max_chunks))
+    found = expand.expand(hits, rows.select("chunk_id", "article_title", "chunk_index", "links"), replace(from_env(ExpansionConfig, "EXPANSION_"), **{k: v for k, v in (("depth", a.depth), ("max_chunks", a.max_chunks)) if v is not None}))
     shown = found.join(rows, "chunk_id").orderBy("place")
     from skein.functions.text import preview
 
@@ -175,7 +198,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(x)
         for key, default in options.items():
             flag = "--" + key.replace("_", "-")
-            p.add_argument(flag, action="store_true") if default is False else p.add_argument(flag, default=default, type=type(default) if default is not None else str)
+            kind = int if key in ("depth", "max_chunks") else type(default) if default is not None else str
+            p.add_argument(flag, action="store_true") if default is False else p.add_argument(flag, default=default, type=kind)
         p.set_defaults(run=run)
         return p
 
@@ -186,22 +210,37 @@ def parser() -> argparse.ArgumentParser:
     add("chunk", chunk, "articles", "output", wiki_ids=None)
     add("embed", run_embed, "chunks", "output", **size)
     add("store", run_store, "embeddings", "store", index=None, force=False)
-    add("build-bm25", build_bm25, "chunks", "output", lowercase=False)
+    add("build-bm25", build_bm25, "chunks", output=None, lowercase=False)
     add("stats-markdown", stats_markdown, "articles")
     add("stats-db", stats_db, "store")
     add("show-chunk", show_chunk, "store", "chunk_id")
     add("delete-chunk", delete_chunk, "store", "chunk_id", force=False)
     add("db-health", db_health, "store")
     add("purge-db", purge_db, "store", force=False)
-    add("retrieve", retrieve, "store", "index", "text", top_k=20, depth=1, max_chunks=30, **size)
+    add("retrieve", retrieve, "store", "index", "text", top_k=0, depth=None, max_chunks=None, timed=False, **size)
     return top
 
 
-def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def dispatch(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """Run one command; errors are raised."""
     a = parser().parse_args(arguments)
+    began = time.perf_counter()
+    log.event("command_started", command=a.command)
     a.run(spark or session(), a)
+    log.event("command_finished", command=a.command, seconds=round(time.perf_counter() - began, 3))
     return 0
 
 
+def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    """Run one command with logging to standard error; an error gives exit code 1."""
+    log.setup()
+    try:
+        return dispatch(arguments, spark)
+    except Exception as e:
+        log.logger.error("command_failed", extra={"fields": {"error": str(e)}}, exc_info=True)
+        print(f"error: {e}", file=sys.stderr)
+        return 1
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein import log, shared
 from skein.operators import keyword, vector
 from skein.session import HybridConfig
 
@@ -29,10 +32,19 @@ def with_rows(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks, "chunk_id")
 
 
-def retrieve(index: keyword.KeywordIndex, vectors: DataFrame, queries: DataFrame, query_vectors: dict, config: HybridConfig = HybridConfig(), k: int | None = None, filters: dict | None = None) -> DataFrame:
+def retrieve(index: keyword.KeywordIndex, vectors: DataFrame, queries: DataFrame, query_vectors: dict, config: HybridConfig = HybridConfig(), k: int | None = None, filters: dict | None = None, timed: bool = False) -> DataFrame:
     """Both searches and their fusion for queries (query_id, text) with vectors ``{query_id: vector}``.
 
-    Filters restrict the vector list only.
+    Filters restrict the vector list only.  ``timed`` runs the two searches one after the other and logs how long each took.
     """
     k = k or config.top_k
-    return fuse(vector.search_batch(vectors, query_vectors, k, filters), keyword.search(index, queries, k), config, k)
+
+    def branch(name: str, search) -> DataFrame:
+        began = time.perf_counter()
+        found = search()
+        if timed:
+            found = shared.materialise(found)
+            log.event("search_branch", branch=name, seconds=round(time.perf_counter() - began, 3))
+        return found
+
+    return fuse(branch("vector", lambda: vector.search_batch(vectors, query_vectors, k, filters)), branch("keyword", lambda: keyword.search(index, queries, k)), config, k)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein import log, shared
+from skein.session import ValidationError
+
 PROGRESS = "id string, article_id string, article_last_updated string, status string, batch_number int, processed_at timestamp, created_at timestamp, error_message string"
 STATES = ("pending", "processing", "completed", "failed")
 
@@ -90,8 +95,9 @@ def batches(rows: DataFrame, order: str, size: int = 100) -> DataFrame:
 
     Rows are range-sorted; a row's place is its place in its partition after the rows of the
     partitions before, so no single task sees all rows and only one count a partition is collected.
+    The sorted rows are materialised, as a second sort may cut them at other places.
     """
-    placed = rows.orderBy(order).withColumn("_m", F.monotonically_increasing_id())
+    placed = shared.materialise(rows.orderBy(order).withColumn("_m", F.monotonically_increasing_id()))
     part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
     before, offsets = 0, []
     for r in placed.groupBy(part.alias("p")).count().orderBy("p").collect():
@@ -111,34 +117,41 @@ def summary(events: DataFrame) -> DataFrame:
     )
 
 
+def first_rows(articles: DataFrame, key: str = "wiki_id") -> DataFrame:
+    """One row of each key, the first in the order of the input: what is seen again in a run is passed over."""
+    w = Window.partitionBy(key).orderBy("_row")
+    return articles.withColumn("_row", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_row", "_n")
+
+
 def ingest(articles: DataFrame, store, embed, metadata, index_path: str | None = None, mode: str = "differs", force: bool = False, dry_run: bool = False):
     """Articles into a store: changed ones are chunked, described, embedded and swapped in; unchanged ones are a no-op.
 
-    ``embed`` adds the column ``embedding`` to chunks and ``metadata`` further columns.  An article with
-    a failed chunk keeps its stored version.  The keyword index is then rebuilt from the whole
-    store; a failure there is reported, not raised.  Returns ``summary``'s row as a dict.
+    Of rows with the same id the first counts.  ``embed`` adds the column ``embedding`` to chunks and ``metadata`` further columns.  An article with
+    a failed chunk keeps its stored version; that all articles fail is an error.  The keyword index is then rebuilt from the whole
+    store; a failure there is reported, not raised.  Returns counters as a dict.
     """
     from skein.operators import chunking, keyword
 
+    run = uuid.uuid4().hex[:8]
+    log.event("ingest_started", run=run, store=store.path, mode=mode, force=force, dry_run=dry_run)
     known = store.versions().withColumnRenamed("wiki_page_id", "wiki_id")
-    judged = changes(articles, known, mode, force)
-    todo = judged.where("action <> 'skip'")
-    chunks = metadata(chunking.chunk(todo))
-    counted = judged.groupBy("action").count().collect()
-    out = {r["action"]: r["count"] for r in counted}
+    judged = changes(first_rows(articles), known, mode, force)
+    chunks = metadata(chunking.chunk(judged.where("action <> 'skip'")))
+    out = {r["action"]: r["count"] for r in judged.groupBy("action").count().collect()}  # three rows at most
     if dry_run:
         return out | {"chunks": chunks.count()}
-    made = embed(chunks.withColumnRenamed("chunk_id", "id"))
-    path = f"{store.path}__new"
-    made.write.mode("overwrite").parquet(path)  # vectors are computed once
-    made = store.spark.read.parquet(path)
+    made = shared.materialise(embed(chunks.withColumnRenamed("chunk_id", "id")))  # vectors are computed once
     failed = made.where("embedding is null").select("wiki_page_id").distinct()
     sound = made.join(failed, "wiki_page_id", "left_anti")
-    store.replace_articles(sound)
     out |= {"chunks": sound.count(), "failed": failed.count()}
-    if index_path:
+    if out["failed"] and not out["chunks"]:
+        raise ValidationError("no chunk could be embedded")
+    store.replace_articles(sound)
+    if index_path and store.count():
         try:
             keyword.build(store.rows().withColumnRenamed("id", "chunk_id")).save(index_path)
         except Exception as e:  # the store is complete; the index can be built again
             out["index_error"] = str(e)
+            log.event("keyword_index_failed", run=run, error=str(e))
+    log.event("ingest_finished", run=run, **out)
     return out

@@ -1,23 +1,31 @@
 """BM25 keyword index and search.
 
-The index is three tables: postings (term, chunk_id, pos, dl, tf), docs (chunk_id, pos, dl) and terms
-(term, df, idf).  Queries come in batches: every operator carries ``query_id``, so many
+The index is built once, from one pass over the texts: postings (term, chunk_id, pos, dl, tf), docs
+(chunk_id, pos, dl), terms (term, df, idf), the first chunks by position, and one row of
+statistics, which is also held on the driver.  It is saved as Parquet with postings in ranges of (term, chunk),
+so that a frequent term fills several files and a search reads only the row groups of its terms.
+
+Queries come in batches: every operator carries ``query_id``, so many
 queries are one job.  Scores are rounded before they are ordered, so ties don't depend on
 the order of a sum.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein import log, shared
 from skein.functions.text import tokens
 from skein.session import ValidationError
 
 #: Fixed values of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: First chunks by position that an index holds, to fill short lists; terms of a batch that are looked up by value.
+FILLERS, MOST_LITERALS = 2000, 1000
 
 
 @dataclass
@@ -25,36 +33,58 @@ class KeywordIndex:
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
+    fillers: DataFrame
     stats: DataFrame
     lowercase: bool = False
 
+    def __post_init__(self) -> None:
+        self.facts = self.stats.first().asDict()
+
     def save(self, path: str) -> None:
-        """The tables as Parquet folders under ``path``; postings and terms are clustered by term."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """The tables as Parquet folders under ``path``; the statistics come last, so an index with them is complete."""
+        self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.fillers.coalesce(1).write.mode("overwrite").parquet(f"{path}/fillers")
         self.stats.withColumn("lowercase", F.lit(self.lowercase)).write.mode("overwrite").parquet(f"{path}/stats")
+        log.event("keyword_index_saved", path=path, **self.facts)
 
 
 def load(spark: SparkSession, path: str) -> KeywordIndex:
     read = lambda t: spark.read.parquet(f"{path}/{t}")
     stats = read("stats")
-    return KeywordIndex(read("postings"), read("docs"), read("terms"), stats.drop("lowercase"), bool(stats.first()["lowercase"]))
+    return KeywordIndex(read("postings"), read("docs"), read("terms"), read("fillers"), stats.drop("lowercase"), bool(stats.first()["lowercase"]))
 
 
 def build(chunks: DataFrame, id_column: str = "chunk_id", text: str = "chunk_text", order: str | None = None, lowercase: bool = False) -> KeywordIndex:
-    """An index of ``chunks``; ``order`` (the id by default) breaks ties between scores."""
+    """An index of ``chunks``; ``order`` (the id by default) breaks ties between scores; no chunks is an error."""
     words = chunks.select(F.col(id_column).alias("chunk_id"), F.col(order or id_column).alias("pos"), tokens(F.coalesce(text, F.lit("")), lowercase).alias("words"))
-    docs = words.select("chunk_id", "pos", F.size("words").cast("long").alias("dl"))
-    # a posting carries its chunk's position and length, so a search joins nothing else
-    each = words.select("chunk_id", "pos", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
-    postings = each.groupBy("term", "chunk_id", "pos", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"))
+    # a posting carries its chunk's position and length, so a search joins nothing else; the empty term, which
+    # no text has, stands for the chunk itself, so that chunks without words come out of the same pass
+    each = words.select("chunk_id", "pos", F.size("words").cast("long").alias("dl"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
+    all_ = shared.materialise(each.groupBy("term", "chunk_id", "pos", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    docs, postings = all_.where("term = ''").select("chunk_id", "pos", "dl"), all_.where("term <> ''")
+    sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")).first()
+    if not sizes["n_docs"]:
+        raise ValidationError("there are no chunks to index")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(sizes)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("avg_idf"), F.count(F.lit(1)).alias("n_terms"))  # one row, as is sizes
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(EPSILON * F.col("avg_idf")).alias("idf"))
-    return KeywordIndex(postings, docs, terms, sizes.crossJoin(mean), lowercase)
+    raw = shared.materialise(df.select("term", "df", (F.log(F.lit(sizes["n_docs"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    mean = raw.agg(F.avg("raw").alias("avg_idf"), F.count(F.lit(1)).alias("n_terms")).first()
+    terms = raw.select("term", "df", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(EPSILON * F.lit(mean["avg_idf"])).alias("idf"))
+    facts = [(sizes["n_docs"], sizes["avgdl"], sizes["n_tokens"], mean["avg_idf"], mean["n_terms"])]
+    stats_ = chunks.sparkSession.createDataFrame(facts, "n_docs long, avgdl double, n_tokens long, avg_idf double, n_terms long")
+    return KeywordIndex(postings, docs, terms, docs.orderBy("pos").limit(FILLERS).select("chunk_id", "pos"), stats_, lowercase)
+
+
+def stored(chunks: DataFrame, name: str, id_column: str = "chunk_id", text: str = "chunk_text", order: str | None = None, lowercase: bool = False) -> KeywordIndex:
+    """The index of ``chunks`` in the shared folder under ``name``, built if it isn't there or if the files that ``chunks`` reads have changed."""
+    spark = chunks.sparkSession
+    files = chunks.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    path = f"{shared.folder(spark)}/keyword-{hashlib.sha256(f'{name} {tuple(mark)} {id_column} {text} {order} {lowercase}'.encode()).hexdigest()[:32]}"
+    if not shared.exists(spark, f"{path}/stats/_SUCCESS"):
+        build(chunks, id_column, text, order, lowercase).save(path)
+    return load(spark, path)
 
 
 def stats(index: KeywordIndex) -> DataFrame:
@@ -67,8 +97,8 @@ def query_terms(queries: DataFrame, lowercase: bool = False) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"), lowercase)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _score() -> Column:
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+def _score(avgdl: float) -> Column:
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
     return F.round(F.sum(F.col("times") * F.col("idf") * part), 6)
 
 
@@ -81,12 +111,16 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20, check: bool = T
     """
     if check and queries.where(F.trim(F.coalesce("text", F.lit(""))) == "").take(1):
         raise ValidationError("a query is empty")
-    known = query_terms(queries, index.lowercase).join(index.terms.select("term", "idf"), "term")
-    hits = known.join(index.postings, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.first("pos").alias("pos"), _score().alias("score"))
-    place = index.docs.select("chunk_id", "pos")
-    every = place.crossJoin(F.broadcast(index.stats.where("avg_idf < 0").select(F.lit(1).alias("_")))).drop("_")  # no row or one
-    first = place.orderBy("pos").limit(2 * k).unionByName(every).distinct()
+    asked, terms, postings = query_terms(queries, index.lowercase), index.terms.select("term", "idf"), index.postings
+    few = [r["term"] for r in asked.select("term").distinct().limit(MOST_LITERALS + 1).collect()]
+    if len(few) <= MOST_LITERALS:  # the scans skip what holds none of them
+        terms, postings = terms.where(F.col("term").isin(few)), postings.where(F.col("term").isin(few))
+    hits = asked.join(terms, "term").join(postings, "term")
+    scored = hits.groupBy("query_id", "chunk_id").agg(F.first("pos").alias("pos"), _score(index.facts["avgdl"] or 1.0).alias("score"))
+    if (index.facts["avg_idf"] or 0) < 0:
+        first = index.docs.select("chunk_id", "pos")
+    else:
+        first = (index.fillers if 2 * k <= FILLERS else index.docs.select("chunk_id", "pos")).orderBy("pos").limit(2 * k)
     blank = queries.select("query_id").distinct().crossJoin(first).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     both = scored.unionByName(blank.withColumn("score", F.lit(0.0)))

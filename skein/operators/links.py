@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein import shared
 from skein.functions.text import LINK
 
 
@@ -33,13 +34,13 @@ def incoming(edges: DataFrame, k: int = 10) -> DataFrame:
 def breadth_first(edges: DataFrame, titles: DataFrame, seed: str, most: int = 100, most_depth: int | None = None) -> DataFrame:
     """``(place, id, depth)``: pages in breadth-first order from ``seed``, at most ``most``; of any depth if ``most_depth`` is None.
 
-    ``edges`` has (src_id, dst_title, pos) and ``titles`` (title, id).  One join for each level;
-    within a level pages come in order of (parent's place, link position).  The frontier never
+    ``edges`` has (src_id, dst_title, pos) and ``titles`` (title, id).  They are joined once and
+    materialised; each level joins that graph with its frontier.  Within a level pages come in order of (parent's place, link position).  The frontier never
     has more than ``most`` rows, so it may be held on the driver between levels; links to
     titles that don't exist are passed over.
     """
     spark = edges.sparkSession
-    graph = edges.join(titles, edges.dst_title == titles.title).select("src_id", F.col("id").alias("dst"), "pos")
+    graph = shared.materialise(edges.join(titles, edges.dst_title == titles.title).select("src_id", F.col("id").alias("dst"), "pos"))
     found = [(1, seed, 0)]
     seen, level = {seed}, [(1, seed)]
     depth = 0
@@ -58,12 +59,16 @@ def breadth_first(edges: DataFrame, titles: DataFrame, seed: str, most: int = 10
 
 
 def levels(edges: DataFrame, seed, most_depth: int = 3) -> DataFrame:
-    """``(node, depth)``: all nodes within ``most_depth`` steps of ``seed`` over ``edges`` (src, dst), without a driver loop over rows."""
+    """``(node, depth)``: all nodes within ``most_depth`` steps of ``seed`` over ``edges`` (src, dst), without a driver loop over rows.
+
+    The edges and each level's new nodes are materialised, so the plan doesn't grow with the depth.
+    """
+    edges = shared.materialise(edges.select("src", "dst"))
     reached = edges.sparkSession.createDataFrame([(seed,)], edges.select(F.col("src").alias("node")).schema).withColumn("depth", F.lit(0))
     for depth in range(1, most_depth + 1):
         last = reached.where(F.col("depth") == depth - 1).select(F.col("node").alias("src"))
         new = edges.join(last, "src").select(F.col("dst").alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
-        reached = reached.unionByName(new.withColumn("depth", F.lit(depth)))
+        reached = reached.unionByName(shared.materialise(new.withColumn("depth", F.lit(depth))))
     return reached
 
 

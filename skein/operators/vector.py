@@ -19,6 +19,8 @@ from skein.session import ValidationError
 
 #: A batch of query vectors must stay below this many numbers (64 MB).
 MOST_NUMBERS = 8 << 20
+#: Rows of a block of queries and of candidates in ``search_table``.
+BLOCK, SHARD = 4096, 65536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -82,3 +84,40 @@ def search_batch(vectors: DataFrame, queries: dict, k: int = 10, filters: dict |
     near = rows.mapInPandas(best, f"query_id {'string' if isinstance(names[0], str) else 'long'}, `{id_column}` {kind}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", id_column)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search_table(vectors: DataFrame, queries: DataFrame, k: int = 10, filters: dict | None = None, id_column: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """``(query_id, id, distance, rank)`` for a table of queries (query_id, vector) of any size.
+
+    Both sides are dealt into blocks of bounded size by a hash; each pair of blocks is one matrix
+    product, whose ``k`` nearest rows of each query go on.  Rows and queries without a vector, or with a zero one, go.
+    """
+    rows = where_equal(vectors, filters).select(F.col(id_column).alias("id"), F.col(vector).cast("array<float>").alias("v")).where("v is not null")
+    asked = queries.select("query_id", F.col("vector").cast("array<float>").alias("v")).where("v is not null")
+    blocks, shards = max(1, -(-asked.count() // BLOCK)), max(1, -(-rows.count() // SHARD))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.select("query_id", "v", place("query_id", blocks).alias("block"), every(shards).alias("shard"))
+    right = rows.select("id", "v", place("id", shards).alias("shard"), every(blocks).alias("block"))
+    kinds = {n: rows_.schema[c].dataType.simpleString() for n, rows_, c in (("query", queries, "query_id"), ("id", vectors, id_column))}
+
+    def nearest(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": q["query_id"].iloc[:0], id_column: x["id"].iloc[:0], "distance": np.zeros(0)})
+        if len(q) and len(x):
+            a, b = (np.array(side["v"].tolist(), np.float64) for side in (q, x))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
+            parts = []
+            for at in range(0, len(a), 256):
+                distance = np.round(1 - a[at : at + 256] @ b.T, 6) + 0.0
+                distance[np.isnan(distance)] = np.inf
+                bar = np.partition(distance, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+                r, c = np.nonzero((distance <= bar[:, None]) & np.isfinite(distance))
+                parts.append((r + at, x["id"].to_numpy()[c], distance[r, c]))
+            r, ids, distance = _first(*map(np.concatenate, zip(*parts)), k)
+            out = pd.DataFrame({"query_id": q["query_id"].to_numpy()[r], id_column: ids, "distance": distance})
+        return out
+
+    near = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(nearest, f"query_id {kinds['query']}, `{id_column}` {kinds['id']}, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", id_column)
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -67,6 +67,14 @@ class HybridConfig:
             raise ConfigurationError("weights must add up to 1")
 
 
+@dataclass(frozen=True)
+class KeywordConfig:
+    """Keyword index: where it is kept, and whether tokens are lower-cased."""
+
+    index_path: str = "data/bm25-index"
+    tokenize_lowercase: bool = False
+
+
 @dataclass(frozen=True)
 class ExpansionConfig:
     """Context expansion: depth 0 to 2, rows of the result, chunks for a link at depths 1 and 2."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,13 +36,28 @@ def _field(header, name: str):
     return F.when(value.isin("", "null", "~"), None).otherwise(F.when(quoted, inner).otherwise(value))
 
 
-def load(spark: SparkSession, path: str, wiki_ids: list[str] | None = None, pattern: str = "*.md") -> DataFrame:
+def load(spark: SparkSession, path: str, wiki_ids: DataFrame | list[str] | None = None, pattern: str = "*.md", in_order: bool = False) -> DataFrame:
     """Articles of an archive: (path, title, wiki_id, last_updated, content, word_count), unreadable files left out.
 
     Files of the archive's own writer need column expressions only.  A missing word count is counted.
+    ``wiki_ids`` is a short list or a table (id); ``in_order`` sorts by the files' names.
     """
     rows = parsed(files(spark, path, pattern))
-    return rows.where(F.col("wiki_id").isin(list(wiki_ids))) if wiki_ids else rows
+    if isinstance(wiki_ids, DataFrame):
+        rows = rows.join(wiki_ids.select(F.col("id").cast("string").alias("wiki_id")), "wiki_id", "left_semi").select(*rows.columns)
+    elif wiki_ids:
+        rows = rows.where(F.col("wiki_id").isin(list(wiki_ids)))
+    return rows.orderBy(F.element_at(F.split("path", "/"), -1), "path") if in_order else rows
+
+
+def rejected(raw: DataFrame) -> DataFrame:
+    """``(path, reason)`` of texts (path, raw) that ``parsed`` leaves out: no front matter, or the first needed key that is missing."""
+    header, _ = front_matter(F.col("raw"))
+    read = raw.select("path", header.alias("h"))
+    reason = F.when(F.col("h").isNull(), "no front matter")
+    for key in REQUIRED:
+        reason = reason.when(F.trim(F.coalesce(_field(F.col("h"), key), F.lit(""))) == "", f"no {key}")
+    return read.select("path", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -118,15 +134,20 @@ def write(articles: DataFrame, path: str) -> None:
     rendered.foreachPartition(save)
 
 
-def id_list(spark: SparkSession, path: str, comments: bool = True) -> list[str]:
-    """Ids of a list file: trimmed, without blank lines and (with ``comments``) without ``#`` lines."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''")
-    ids = [r["v"] for r in (lines.where(~F.col("v").startswith("#")) if comments else lines).collect()]
-    if not ids:
+def id_table(spark: SparkSession, path: str, comments: bool = True) -> DataFrame:
+    """``(id)``: ids of a list file, trimmed, without blank lines and (with ``comments``) without ``#`` lines; none is an error."""
+    lines = spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''")
+    ids = lines.where(~F.col("id").startswith("#")) if comments else lines
+    if not ids.take(1):
         raise ConfigurationError(f"no ids in {path}")
     return ids
 
 
+def id_list(spark: SparkSession, path: str, comments: bool = True) -> list[str]:
+    """The same as a list, for short files."""
+    return [r["id"] for r in id_table(spark, path, comments).collect()]
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of a JSON file ``{"chunks": [...]}``; a row without one of the needed fields is an error."""
     rows = spark.read.option("multiLine", True).json(path).select(F.explode("chunks").alias("c")).select("c.*")
@@ -143,9 +164,22 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_wrapped(rows: DataFrame, path: str, key: str, **header) -> None:
-    """A JSON file with ``header`` fields and all ``rows`` under ``key``, for exchange of small sets: one task writes it.  Large sets are Parquet."""
-    one = rows.agg(F.collect_list(F.struct(*rows.columns)).alias(key))
-    one.select(*(F.lit(v).alias(k) for k, v in header.items()), key).coalesce(1).write.mode("overwrite").json(path)
+    """A JSON file with ``header`` fields and all ``rows`` under ``key``, for exchange with other programs.
+
+    One task writes it, a row at a time, so its memory doesn't grow with the rows.  Large sets are Parquet.
+    """
+    start = json.dumps(header)[:-1] + (", " if header else "") + json.dumps(key) + ": ["
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        comma = ""
+        yield pd.DataFrame({"value": [start]})
+        for part in batches:
+            lines = [(", " if i else comma) + v for i, v in enumerate(part["v"])]
+            comma = ", " if lines else comma
+            yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": ["]}"]})
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("v")).coalesce(1).mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
 def write_id_list(ordered: DataFrame, path: str, seed: str) -> None:

@@ -49,18 +49,13 @@ def article_pages(raw: DataFrame, page_ids: DataFrame | list[str] | None = None)
     return out.join(page_ids.select(F.col("id").cast("string").alias("wiki_id")), "wiki_id", "left_semi") if page_ids is not None else out
 
 
-def articles(spark: SparkSession, path: str, page_ids: DataFrame | list[str] | None = None, most_redirects: int = 1_000_000) -> DataFrame:
+def articles(spark: SparkSession, path: str, page_ids: DataFrame | list[str] | None = None) -> DataFrame:
     """Converted articles: (wiki_id, title, last_updated, content, word_count, infobox, infobox_links).
 
-    Redirects go to the tasks as a map only below ``most_redirects`` rows; beyond, a join gives
-    each page those it looks up (``wikitext.with_redirects``), with the same results.
+    A join gives each page the redirects that it looks up (``wikitext.with_redirects``), for tables of any size.
     """
     raw = pages(spark, path)
-    table = redirects(raw)
-    few = table.limit(most_redirects + 1).collect()
-    small = len(few) <= most_redirects
-    found = article_pages(raw, page_ids)
-    made = wikitext.convert_pages(found, {r["source"]: r["target"] for r in few}) if small else wikitext.convert_pages(wikitext.with_redirects(found, table))
+    made = wikitext.convert_pages(wikitext.with_redirects(article_pages(raw, page_ids), redirects(raw)))
     return made.where((F.trim("content") != "") & (F.col("word_count") >= 0)).drop("text", "wiki_links", "_sources", "_targets")
 
 

@@ -19,7 +19,7 @@ def base(tmp_path_factory):
 
 
 def run(spark, capsys, *arguments):
-    assert cli.main([str(a) for a in arguments], spark) == 0
+    assert cli.dispatch([str(a) for a in arguments], spark) == 0
     return capsys.readouterr().out
 
 
@@ -30,9 +30,10 @@ def test_stepwise_workflow(spark, base, capsys):
     assert run(spark, capsys, "chunk", base / "md", base / "chunks").startswith("3 chunks")
     assert run(spark, capsys, "embed", base / "chunks", base / "vectors", "--dimensions", 32).startswith("3\t0")
     assert "add\t3" in run(spark, capsys, "store", base / "vectors", base / "db", "--index", base / "index")
-    assert "skip\t3" in run(spark, capsys, "store", base / "vectors", base / "db")
+    assert "skip\t3\nnothing to store" in run(spark, capsys, "store", base / "vectors", base / "db")
+    assert "nothing" not in run(spark, capsys, "store", base / "vectors", base / "db", "--index", base / "index2")
     assert "update\t3" in run(spark, capsys, "store", base / "vectors", base / "db", "--force")
-    assert run(spark, capsys, "build-bm25", base / "db", base / "index").startswith("3\t")
+    assert run(spark, capsys, "build-bm25", base / "db", "--output", base / "index").startswith("3\t")
     assert json.loads(run(spark, capsys, "db-health", base / "db")) == {"status": "healthy", "count": 3}
     assert run(spark, capsys, "stats-db", base / "db").startswith("3\t3")
     assert "wings" in run(spark, capsys, "show-chunk", base / "db", "2_0")
@@ -42,18 +43,37 @@ def test_stepwise_workflow(spark, base, capsys):
     assert [line.split("\t")[2] for line in expanded.strip().split("\n")] == ["58_0", "2_0"]
     assert "deleted" in run(spark, capsys, "delete-chunk", base / "db", "2_0", "--force")
     with pytest.raises(NotFoundError):
-        cli.main(["show-chunk", str(base / "db"), "2_0"], spark)
+        cli.dispatch(["show-chunk", str(base / "db"), "2_0"], spark)
     assert "2 deleted" in run(spark, capsys, "purge-db", base / "db", "--force")
     assert "nothing" in run(spark, capsys, "purge-db", base / "db", "--force")
     with pytest.raises(NotFoundError):
-        cli.main(["retrieve", str(base / "db"), str(base / "index"), "x"], spark)
+        cli.dispatch(["retrieve", str(base / "db"), str(base / "index"), "x"], spark)
 
 
 def test_ingest_command(spark, base, capsys):
-    cli.main(["parse-wiki", str(base / "w.xml"), str(base / "a2")], spark)
+    cli.dispatch(["parse-wiki", str(base / "w.xml"), str(base / "a2")], spark)
     capsys.readouterr()
     first = json.loads(run(spark, capsys, "ingest", base / "a2", base / "db2", "--index", base / "i2", "--dimensions", 8, "--summary", base / "sum"))
     assert first == {"add": 3, "chunks": 3, "failed": 0}
     assert json.loads(run(spark, capsys, "ingest", base / "a2", base / "db2", "--dimensions", 8)) == {"skip": 3, "chunks": 0, "failed": 0}
     (base / "one").write_text("# only\n58\n")
     assert json.loads(run(spark, capsys, "ingest", base / "a2", base / "db2", "--force", "--dry-run", "--wiki-ids", base / "one")) == {"update": 1, "chunks": 1}
+
+
+def test_errors_give_exit_code_1_and_a_log_line(spark, base, capsys, monkeypatch):
+    monkeypatch.setenv("HYBRID_TOP_K", "x")
+    assert cli.main(["show-chunk", str(base / "none"), "1_0"], spark) == 1
+    last = [json.loads(line) for line in capsys.readouterr().err.splitlines() if line.startswith("{")][-1]
+    assert last["event"] == "command_failed" and last["level"] == "error"
+
+
+def test_a_failing_index_is_a_warning(spark, base, capsys, monkeypatch):
+    from skein.operators import keyword
+
+    run(spark, capsys, "parse-wiki", base / "w.xml", base / "a3")
+    run(spark, capsys, "chunk", base / "a3", base / "c3")
+    run(spark, capsys, "embed", base / "c3", base / "v3", "--dimensions", 8)
+    monkeypatch.setattr(keyword, "build", lambda *a, **k: 1 / 0)
+    assert cli.dispatch(["store", str(base / "v3"), str(base / "db3"), "--index", str(base / "i3")], spark) == 0
+    out = capsys.readouterr()
+    assert "add\t3" in out.out and "warning" in out.err

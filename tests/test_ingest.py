@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import wikitext
 from skein.operators import embed, ingest, metadata
 from skein.operators.store import ChunkStore, decode_metadata, encode_metadata
 from skein.session import ConfigurationError, NotFoundError, ProviderError, ValidationError
@@ -36,19 +37,16 @@ def test_articles_of_an_export(spark, xml):
     assert [r["wiki_id"] for r in wiki.articles(spark, xml, ["2"]).collect()] == ["2"]
 
 
-def test_large_redirect_tables_are_joined(spark, xml):
-    few, many = (sorted((r["wiki_id"], r["content"]) for r in wiki.articles(spark, xml, most_redirects=m).collect()) for m in (10, 0))
-    assert few == many
-
-
-def test_large_redirect_tables_give_the_same_columns(spark, tmp_path):
+def test_redirects_resolve_alike_everywhere(spark, tmp_path):
     text = "{{Infobox town|name=[[A]]|near=[[B]] and [[C]]|by=[[Foo (x)|f]]}}\n[[A]] [[B|b]] [[Foo (x)]] [[A {{t}}]] [w](A) [[[A]]] [[None such]]"
     pages = [("P", text, None), ("Q", "no links", None), ("A", "#", "B"), ("B", "#", "C"), ("Foo (x)", "#", "Bar (y)"), ("A  z", "#", "D")]
     xml = "".join(f"<page><title>{t}</title><ns>0</ns><id>{i}</id>{f'<redirect title=\"{r}\" />' if r else ''}<revision><text>{x}</text></revision></page>\n" for i, (t, x, r) in enumerate(pages))
     (tmp_path / "w.xml").write_text(f"<mediawiki>\n{xml}</mediawiki>")
-    few, many = ({r["wiki_id"]: r.asDict() for r in wiki.articles(spark, str(tmp_path / "w.xml"), most_redirects=m).collect()} for m in (10, 0))
-    assert few == many and set(few) == {"0", "1"}
-    assert few["0"]["infobox_links"] == ["B", "C", "Bar (y)"] and "[B](B) [b](C) [Bar (y)](Bar (y)) [B](B)" in few["0"]["content"] and "[w](A)" in few["0"]["content"]
+    got = {r["wiki_id"]: r.asDict() for r in wiki.articles(spark, str(tmp_path / "w.xml")).collect()}
+    table = {t: r for t, _, r in pages if r}
+    assert set(got) == {"0", "1"}
+    assert got["0"]["content"] == wikitext.to_markdown(text, table) and (got["0"]["infobox"], got["0"]["infobox_links"]) == wikitext.infobox(text, table)
+    assert got["0"]["infobox_links"] == ["B", "C", "Bar (y)"] and "[B](B) [b](C) [Bar (y)](Bar (y)) [B](B)" in got["0"]["content"] and "[w](A)" in got["0"]["content"]
 
 
 def test_redirects_titles_edges(spark, xml):
@@ -71,6 +69,9 @@ def test_archive_round_trip(spark, tmp_path):
         assert got == {"1": ("It's: a/b", "## H\n\nText", 3), "2": ("Beta", "More", 1), "7": ("Free", "one two three", 3)}
     assert [r["wiki_id"] for r in archive.load(spark, str(tmp_path / "a"), ["2"]).collect()] == ["2"]
     assert tuple(archive.counts(spark, str(tmp_path / "a")).first()) == (5, 3, 2)
+    assert {r["path"].rsplit("/", 1)[1]: r["reason"] for r in archive.rejected(archive.files(spark, str(tmp_path / "a"))).collect()} == {"bad.md": "no front matter", "blank.md": "no wiki_id"}
+    assert [r["wiki_id"] for r in archive.load(spark, str(tmp_path / "a"), in_order=True).collect()] == ["2", "1", "7"]
+    assert [r["title"] for r in archive.load(spark, str(tmp_path / "a"), spark.createDataFrame([(7,)], "id int")).collect()] == ["Free"]
 
 
 def test_id_lists(spark, tmp_path):
@@ -150,6 +151,21 @@ def test_batches(spark):
     assert [r["batch"] for r in got] == [i // 100 + 1 for i in range(250)]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_batches_of_a_large_table(spark, adaptive):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        n = 3_000_000
+        rows = spark.range(n).select((F.col("id") * 7_919 % n).alias("id"))  # each number once, out of order
+        wrong = ingest.batches(rows, "id", 100).where(F.col("batch") != F.floor(F.col("id") / 100) + 1).count()
+        assert wrong == 0
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_embedding_keeps_rows_and_skips_blanks(spark):
     got = embed.embed(spark.createDataFrame([(1, "a b"), (2, " "), (3, None)], "i int, chunk_text string"), embed.hashing(8)).orderBy("i").collect()
     assert len(got[0]["embedding"]) == 8 and got[1]["embedding"] is None and got[2]["embedding"] is None
@@ -180,6 +196,49 @@ def test_ingest_and_again(spark, tmp_path):
     assert ingest.ingest(articles.limit(1), store, None, metadata.extract, force=True, dry_run=True)["chunks"] == 1
 
 
+def test_ids_seen_again_in_a_run_are_passed_over(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    articles = spark.createDataFrame([("1", "A", "v1", "first text"), ("1", "A", "v2", "second text"), ("2", "B", "v1", "x y")], "wiki_id string, title string, last_updated string, content string").coalesce(1)
+    out = ingest.ingest(articles, store, lambda c: embed.embed(c, embed.hashing(4)), metadata.extract)
+    assert out == {"add": 2, "chunks": 2, "failed": 0}
+    assert sorted((r["id"], r["article_last_updated"], r["chunk_text"]) for r in store.rows().collect()) == [("1_0", "v1", "first text"), ("2_0", "v1", "x y")]
+
+
+def test_all_embeddings_failing_is_an_error(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    articles = spark.createDataFrame([("1", "A", "v1", "first text")], "wiki_id string, title string, last_updated string, content string")
+    with pytest.raises(ValidationError):
+        ingest.ingest(articles, store, lambda c: c.withColumn("embedding", F.lit(None).cast("array<float>")), metadata.extract)
+    assert store.count() == 0
+
+
+def test_store_changes_are_whole(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store = ChunkStore(spark, path, buckets=4)
+    for v in range(5):
+        store.replace_articles(rows_of(spark, *((str(p), 2, f"v{v}") for p in range(6))))
+    assert ChunkStore(spark, path).state()[1]["buckets"] == 4 and store.count() == 12
+    assert len([f for f in os.listdir(path) if f.startswith("v=")]) == 2  # the present state and the one before
+    before = store.rows().collect()
+    number, manifest = store.state()
+    store._write(store._prepared(rows_of(spark, ("0", 9, "v9")), 4))  # a writer that dies before its manifest
+    assert sorted(map(str, ChunkStore(spark, path).rows().collect())) == sorted(map(str, before))
+    store._publish(manifest, number + 1)
+    with pytest.raises(ValidationError):  # a second writer that started from the same state
+        store._publish(manifest, number + 1)
+
+
+def test_shared_folder_is_needed_on_clusters():
+    from types import SimpleNamespace
+
+    from skein import shared
+
+    session = lambda master, held=None: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: held), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+    with pytest.raises(ConfigurationError):
+        shared.folder(session("spark://host:7077"))
+    assert shared.folder(session("spark://host:7077", "/shared")) == "/shared" and shared.folder(session("local[2]"))
+
+
 def test_stream_ingest_is_incremental(spark, tmp_path):
     source, store = tmp_path / "in", ChunkStore(spark, str(tmp_path / "s"))
     rows = lambda *r: spark.createDataFrame(r, "wiki_id string, title string, last_updated string, content string")
