@@ -67,7 +67,7 @@ def links(text: Column) -> Column:
 def wiki_links(text: Column) -> Column:
     """Distinct targets of ``[[target|text]]`` in order; files, images and categories don't count."""
     found = F.regexp_extract_all(text, F.lit(r"\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda t: (t != "") & ~t.rlike("^(File|Image|Category):")))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: (t != "") & ~t.rlike("^(File|Image|Category):")))
 
 
 def character_names(text: Column, most: int = 5) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.text import tokens
+
 #: USD for 1000 tokens, input and output.
 PRICES = {
     "gpt-4.1": (0.002, 0.008),
@@ -95,3 +97,24 @@ def retrieval_quality(hits: DataFrame, relevant: DataFrame, k: int = 10) -> Data
     total = ideal.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("i") <= k, gain(F.col("grade"), F.col("i")))).alias("idcg"))
     r6 = lambda c, name: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(name)
     return total.join(got, "query_id", "left").select("query_id", r6(F.col("found") / k, "precision"), r6(F.col("found") / F.col("n"), "recall"), r6(1 / F.col("first"), "reciprocal_rank"), r6(F.col("dcg") / F.col("idcg"), "ndcg"))
+
+
+def containing(docs: DataFrame, items: DataFrame, doc_text: str, item_text: str) -> DataFrame:
+    """Pairs of ``docs`` and ``items`` (other columns of both) where the document's text holds the item's, character by character.
+
+    A word that stands between two others in an item stands as a word in every text that holds the
+    item, so pairs are found by joining on the item's longest such word (documents' distinct words
+    against it) and then checked.  Items of fewer than three words have none and are
+    checked against every document; they can't be told by a word.
+    """
+    inner = F.regexp_extract(F.col("_item"), r"(?s)^\S*\s+(.*)\s+\S*$", 1)
+    longest = F.element_at(F.array_sort(F.transform(tokens(inner), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    held = items.withColumnRenamed(item_text, "_item").withColumn("_word", F.when(F.size(tokens(inner)) > 0, longest))
+    words = held.where(F.col("_word").isNotNull())
+    named = docs.withColumn("_doc", F.col(doc_text)).drop(doc_text).withColumn("_word", F.explode(F.array_distinct(tokens(F.col("_doc"))))).join(words, "_word")
+    named = named.where(F.contains("_doc", "_item")).drop("_word", "_doc", "_item")
+    few = held.where(F.col("_word").isNull()).drop("_word")
+    if not few.take(1):
+        return named
+    short = docs.withColumn("_doc", F.col(doc_text)).drop(doc_text).join(few, F.contains("_doc", "_item"))
+    return named.unionByName(short.drop("_doc", "_item"))

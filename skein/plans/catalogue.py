@@ -6,33 +6,16 @@ SQL stands beside it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import answers, wikitext
 from skein.functions import text as T
-from skein.operators import analytics, chunking, embed, expand, hybrid, ingest, keyword, links, metadata, quality, vector
+from skein.operators import analytics, chunking, expand, hybrid, ingest, keyword, links, metadata, quality, vector
 from skein.plans.derived import CHUNKS_SQL, MARKDOWN_SQL, chunks, markdown, table
+from skein.plans.registry import ORACLE_SQL, QUERIES, query
 from skein.session import ExpansionConfig, HybridConfig
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- keyword search -----------------------------------------------------------------------
 
 #: Text of the single keyword query; its terms are frequent and rare ones of the tables.
@@ -57,7 +40,8 @@ kw as (select * from (select query_id, doc_id, score, row_number() over (partiti
 
 
 def _index(spark: SparkSession, sf_dir: str) -> keyword.KeywordIndex:
-    return keyword.build(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "chunk_id"), text="text")
+    """The index of ``documents``, built once and kept in the shared folder."""
+    return keyword.stored(table(spark, sf_dir, "documents"), "documents", "doc_id", "text")
 
 
 def _question(spark: SparkSession, text: str = QUESTION) -> DataFrame:
@@ -114,9 +98,10 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.search(_vectors(spark, sf_dir), _vector_of(spark, sf_dir, 0)[0], 10, {"label": 3})
 
 
-@query(f"with {_nearest(5, queries='a.vec_id < 20')} select query_id, vec_id as chunk_id, distance, rank::integer as rank from near")
+@query(f"with {_nearest(5, queries='a.vec_id % 50 = 0')} select query_id, vec_id as chunk_id, distance, rank::integer as rank from near")
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.search_batch(_vectors(spark, sf_dir), _vector_of(spark, sf_dir, *range(20)), 5)
+    rows = _vectors(spark, sf_dir)
+    return vector.search_table(rows, rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), 5)
 
 
 # --- hybrid retrieval and expansion -------------------------------------------------------
@@ -194,12 +179,12 @@ def context_expand_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select 'Doc ' || p_partkey as source, 'Doc ' || (p_partkey * 3 % 500) as target from part where p_partkey % 4 = 0),
+with r as (select 'Doc ' || (p_partkey * 2) as source, 'Doc ' || (p_partkey * 3 % 500) as target from part),
 l as (select doc_id, 'Doc ' || ((doc_id * 7 + 1) % 200) as link from documents)
 select doc_id, coalesce(target, link) as link from l left join r on link = source""")
 def redirect_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_partkey % 4 = 0")
-    redirects = part.select(F.concat(F.lit("Doc "), F.col("p_partkey").cast("string")).alias("source"), F.concat(F.lit("Doc "), (F.col("p_partkey") * 3 % 500).cast("string")).alias("target"))
+    part = table(spark, sf_dir, "part")
+    redirects = part.select(F.concat(F.lit("Doc "), (F.col("p_partkey") * 2).cast("string")).alias("source"), F.concat(F.lit("Doc "), (F.col("p_partkey") * 3 % 500).cast("string")).alias("target"))
     linked = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Doc "), ((F.col("doc_id") * 7 + 1) % 200).cast("string")).alias("link"))
     return links.resolve(linked, redirects)
 
@@ -238,14 +223,6 @@ def bfs_test_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.levels(both, "s1", 2)
 
 
-@query()
-def bfs_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breadth-first order over the links of derived articles; the exact order is tested against a queue."""
-    md = markdown(spark, sf_dir)
-    edges = md.select(F.col("doc_id").cast("string").alias("src_id"), F.posexplode("links").alias("pos", "dst_title"))
-    return links.breadth_first(edges, md.select("title", F.col("doc_id").cast("string").alias("id")), "1", 100)
-
-
 # --- text and chunks ----------------------------------------------------------------------
 
 _LINES = f"""{MARKDOWN_SQL},
@@ -313,13 +290,6 @@ def chunk_merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select("doc_id", F.posexplode(chunking.merge_small(F.col("s"), 50)).alias("pos", "c")).select("doc_id", "pos", "c.text", "c.path")
 
 
-@query()
-def chunk_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole chunker on derived articles; tested against its folds and by invariants."""
-    md = markdown(spark, sf_dir).select(F.col("doc_id").cast("string").alias("wiki_id"), "title", F.col("markdown").alias("content"))
-    return chunking.chunk(md).drop("article_last_updated")
-
-
 @query("with w as (select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as n from documents) select count(*) as n, sum(n)::bigint as total, median(n)::double as median from w")
 def word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.sizes(table(spark, sf_dir, "documents").select(T.word_count(F.col("text")).alias("w")), "w")
@@ -381,13 +351,15 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- ingest state -------------------------------------------------------------------------
 
-_VERSIONS = "a as (select doc_id, 'v' || (n_chars % 10) as last_updated from documents where doc_id % 5 <> 0), s as (select doc_id, 'v' || (n_chars % 7) as stored from documents where doc_id % 3 <> 0)"
+#: All documents come in; those stored before have other ids for every third document, so that there is something to add.
+_VERSIONS = "a as (select doc_id, 'v' || (n_chars % 10) as last_updated from documents), s as (select case when doc_id % 3 = 0 then -doc_id - 1 else doc_id end as doc_id, 'v' || (n_chars % 7) as stored from documents)"
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     v = lambda n: F.concat(F.lit("v"), (F.col("n_chars") % n).cast("string"))
-    return docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("wiki_id"), v(10).alias("last_updated")), docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("wiki_id"), v(7).alias("stored"))
+    known = F.when(F.col("doc_id") % 3 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    return docs.select(F.col("doc_id").alias("wiki_id"), v(10).alias("last_updated")), docs.select(known.alias("wiki_id"), v(7).alias("stored"))
 
 
 @query(f"with {_VERSIONS} select doc_id as wiki_id, last_updated, case when stored is null then 'add' when last_updated <> stored then 'update' else 'skip' end as action from a left join s using (doc_id)")
@@ -400,11 +372,14 @@ def change_detect_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.changes(*_versions(spark, sf_dir), mode="newer")
 
 
-@query("select doc_id, case when doc_id % 4 = 0 then lang || '-new' else lang end as lang from documents where doc_id % 4 = 0 or doc_id % 2 = 1")
+@query("""
+with new as (select case when doc_id % 2 = 0 then doc_id else -doc_id - 1 end as doc_id, lang || '-new' as lang from documents)
+select doc_id, lang from documents where doc_id not in (select doc_id from new) union all select doc_id, lang from new""")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are stored, and all come in again, half of them with new keys."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    new = docs.where("doc_id % 4 = 0").withColumn("lang", F.concat("lang", F.lit("-new")))
-    return ingest.merge(docs.where("doc_id % 4 = 0 or doc_id % 2 = 1"), new, "doc_id")
+    key = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(-F.col("doc_id") - 1)
+    return ingest.merge(docs, docs.select(key.alias("doc_id"), F.concat("lang", F.lit("-new")).alias("lang")), "doc_id")
 
 
 @query("select doc_id, source from documents where source <> 'src3' and source <> 'src7'")
@@ -527,8 +502,7 @@ select query_id, round(coalesce(found / 10, 0), 6) as precision, round(coalesce(
 def eval_recall_mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # the stated query set against all rows, by a containment test; Spark broadcasts the items while they are small
-    held = docs.join(items.withColumnRenamed("text", "passage"), F.contains("text", "passage"))
+    held = analytics.containing(docs, items, "text", "text")
     relevant = held.select("query_id", F.col("doc_id").alias("chunk_id"), (1 + F.col("doc_id") % 3).alias("grade"))
     return analytics.retrieval_quality(keyword.search(_index(spark, sf_dir), items, 10), relevant)
 
@@ -575,7 +549,7 @@ def model_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("role", answers.provider(model).alias("provider")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- markup and vectors without an oracle --------------------------------------------------
+# --- markup without an oracle ---------------------------------------------------------------
 
 
 @query()
@@ -583,20 +557,6 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", wikitext.html_to_markdown(F.col("html")).alias("markdown"))
 
 
-@query()
-def wikitext_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents wrapped in wiki markup, converted; tested against fixed cases."""
-    c = lambda n: F.col(n).cast("string")
-    raw = F.concat(F.lit("{{Infobox Doc\n| name = "), c("source"), F.lit("\n| link = [[Doc "), c("doc_id"), F.lit("]]\n}}\n== Text ==\n'''"), c("lang"), F.lit("''' [[Doc 1|one]] [[Category:X]]\n"), F.col("text"))
-    made = wikitext.convert_pages(table(spark, sf_dir, "documents").select("doc_id", raw.alias("text")), {"Doc 1": "Doc 2"})
-    return made.select("doc_id", "content", "word_count", "infobox", "infobox_links", "wiki_links")
-
-
-@query()
-def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.embed(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk_text")), embed.hashing(64)).select("doc_id", "embedding")
-
-
 # --- sources, read from texts in memory ----------------------------------------------------
 
 
@@ -627,36 +587,7 @@ def markdown_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.parsed(archive.render(docs).select(F.col("name").alias("path"), "raw")).drop("path")
 
 
-# --- streams ------------------------------------------------------------------------------
-
-
-@query("""
-select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 6) as total from events group by all""")
-def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windowed aggregate of the stream, as its batch result; the stream itself is tested for the same rows."""
-    from skein.streaming.ingest import window_counts
-
-    w = window_counts(table(spark, sf_dir, "events"))
-    return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 6).alias("total"))
-
-
-@query("select doc_id, 'add' as action from documents")
-def stream_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a stream of changes against what was taken in before; a second run adds nothing."""
-    import tempfile
-    import uuid
-
-    from skein.streaming import ingest as stream
-
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='skein-')}/{uuid.uuid4().hex}"
-
-    def sink(batch: DataFrame, _: int) -> None:
-        new = batch.select(F.col("doc_id").alias("wiki_id"), F.col("lang").alias("last_updated"))
-        stored = spark.read.schema("wiki_id long, stored string, action string").parquet(f"{base}/taken")
-        todo = ingest.changes(new, stored.select("wiki_id", "stored")).where("action <> 'skip'")
-        todo.select("wiki_id", F.col("last_updated").alias("stored"), "action").write.mode("append").parquet(f"{base}/taken")
+# the further modules register their queries when they are imported
+from skein.plans import articles, files, states, streams  # noqa: E402
 
-    spark.createDataFrame([], "wiki_id long, stored string, action string").write.parquet(f"{base}/taken")
-    for run in ("a", "b"):  # two checkpoints, so the second run sees all files again
-        stream.run_once(stream.read(spark, f"{sf_dir}/documents*.parquet"), sink, f"{base}/{run}")
-    return spark.read.parquet(f"{base}/taken").select(F.col("wiki_id").alias("doc_id"), "action")
+__all__ = ["ORACLE_SQL", "QUERIES", "articles", "files", "states", "streams"]

@@ -120,7 +120,11 @@ def write(articles: DataFrame, path: str) -> None:
     Tasks write their own articles.  This is for exchange with other programs; Parquet is the
     engine's own form.
     """
-    rendered = render(articles).where("name is not null").groupBy("name").agg(F.max("raw").alias("raw"))
+    write_files(render(articles).where("name is not null").groupBy("name").agg(F.max("raw").alias("raw")), path)
+
+
+def write_files(rendered: DataFrame, path: str) -> None:
+    """One file for each row (name, raw) under ``path``."""
 
     def save(rows) -> None:
         from pyarrow import fs
