@@ -549,10 +549,23 @@ def model_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("role", answers.provider(model).alias("provider")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- markup without an oracle ---------------------------------------------------------------
+# --- markup -------------------------------------------------------------------------------
 
 
-@query()
+def _html_sql() -> str:
+    """The steps one by one; what a tag's end closes is spelled out for each tag."""
+    out = "html"
+    steps = [(rf"(?s)<{t}\b[^>]*>.*?</{t}>", "") for t in ("head", "script", "style", "nav", "footer")] + [(r"(?s)<!--.*?-->", "")]
+    steps += [(rf"(?i)<h{n}[^>]*>", "\n\n" + "#" * n + " ") for n in (1, 2, 3, 4)] + [(r"(?i)</h[1-6]>", "\n\n"), (r"(?i)<li[^>]*>", "\n- "), (r"(?i)<(?:p|div|br)\b[^>]*>", "\n\n"), (r"(?i)</(p|div)>", "\n\n")]
+    steps += [(r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', r"[\2](\1)"), (r"(?i)</?(?:b|strong)>", "**"), (r"(?i)</?(?:i|em)>", "*"), ("<[^>]+>", "")]
+    steps += [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]
+    for pattern, new in steps:
+        pattern, new = pattern.replace("'", "''"), new.replace("\n", "' || chr(10) || '")
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    return f"select page_id, {out} as markdown from pages"
+
+
+@query(_html_sql())
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", wikitext.html_to_markdown(F.col("html")).alias("markdown"))
 
