@@ -162,6 +162,53 @@ def test_levels(spark):
     assert {(r["node"], r["depth"]) for r in links.levels(edges, 1, 2).collect()} == {(1, 0), (2, 1), (3, 2)}
 
 
+def test_quantiles_are_exact_over_many_partitions(spark):
+    import numpy as np
+
+    from skein.operators import analytics
+
+    q = np.random.default_rng(1)
+    rows = [(int(g), float(v)) for g, v in zip(q.choice([1, 1, 1, 1, 2, 3], 4000), np.round(q.gamma(2, 30, 4000), 1))] + [(4, 5.0), (5, None)]
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in analytics.quantiles(spark.createDataFrame(rows, "g int, v double").repartition(7), "v", {"a": 0.5, "b": 0.95, "c": 0.0}, ["g"]).collect()}
+    for g in (1, 2, 3, 4):
+        own = [v for k, v in rows if k == g]
+        assert np.allclose(got[g], [np.quantile(own, s) for s in (0.5, 0.95, 0.0)])
+    assert 5 not in got and analytics.sizes(spark.createDataFrame([], "w int"), "w").first().asDict() == {"n": 0, "total": 0, "median": None}
+
+
+def test_containment_equals_a_scan(spark):
+    from skein.operators import analytics
+
+    docs = [(1, "the quick brown fox jumps"), (2, "xthe quick brown foxes"), (3, "quick  brown"), (4, "a b"), (5, "the\nquick brown fox")]
+    items = [(1, "the quick brown fox"), (2, "a b"), (3, "quick  brown"), (4, "k brown f"), (5, "")]
+    for some in (items, items[:1] + items[3:4]):
+        got = analytics.containing(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(some, "item_id int, text string"), "text", "text")
+        assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == sorted((d, i) for d, t in docs for i, p in some if p in t)
+
+
+def test_stored_index_is_built_once_and_again_for_new_files(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(DOCS, "chunk_id string, chunk_text string").write.parquet(str(tmp_path / "d"))
+    built, real = [], keyword.build
+    monkeypatch.setattr(keyword, "build", lambda *a, **k: (built.append(1), real(*a, **k))[1])
+    first, again = (keyword.stored(spark.read.parquet(str(tmp_path / "d")), "t") for _ in range(2))
+    assert len(built) == 1 and first.facts == again.facts and first.facts["n_docs"] == 5
+    plan = keyword.search(again, spark.createDataFrame([(0, "red fox")], "query_id long, text string"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "chunk_text" not in plan and "In(term" in plan
+    spark.createDataFrame([("9_0", "new red text")], "chunk_id string, chunk_text string").write.mode("append").parquet(str(tmp_path / "d"))
+    assert keyword.stored(spark.read.parquet(str(tmp_path / "d")), "t").facts["n_docs"] == 6 and len(built) == 2
+    with pytest.raises(ValidationError):
+        keyword.build(spark.createDataFrame([], "chunk_id string, chunk_text string"))
+
+
+def test_vector_tables_equal_batches(spark, vectors, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 2)
+    monkeypatch.setattr(vector, "SHARD", 2)
+    asked = {"p": [0.0, 1.0], "q": [1.0, 0.0], "r": [0.6, 0.8]}
+    queries = spark.createDataFrame([*asked.items(), ("none", None), ("zero", [0.0, 0.0])], "query_id string, vector array<double>")
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["chunk_id"], r["distance"]) for r in rows.collect())
+    assert key(vector.search_table(vectors, queries, 3)) == key(vector.search_batch(vectors, asked, 3))
+
+
 def test_search_plans_reach_the_scan(spark, tmp_path):
     spark.range(10).select(F.col("id").cast("string").alias("chunk_id"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"), F.lit("x").alias("kind"), F.lit("unused").alias("wide")).write.parquet(str(tmp_path / "v"))
     plan = vector.search(spark.read.parquet(str(tmp_path / "v")), [1.0], 3, {"kind": "x"})._jdf.queryExecution().executedPlan().toString()
