@@ -10,7 +10,6 @@ Rules that hold everywhere in this folder:
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,6 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from skein.shared import materialise as cut
+
+__all__ = ["cut", "few_ids", "filter_arrow", "held_out", "held_out_column", "labelled_sample", "map_arrow", "one_text", "slices", "table"]
+
 #: Rows whose crc32(doc_id as text) has this remainder are held out of training.
 FOLDS, HELD_OUT = 5, 0
 
@@ -29,28 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class SharedFolderError(ValueError):
-    """A cluster names no folder that all its machines share."""
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, materialised in the shared checkpoint folder, without its lineage.
-
-    The folder is what ``spark.checkpoint.dir`` names.  Where that is unset, a local master gets a
-    temporary folder, as in tests, and a cluster is an error: a folder of one machine isn't
-    seen by the others.  Spark deletes the files when nothing refers to the result any more.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.split("[")[0] == "local":
-            raise SharedFolderError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-"))
-    return df.checkpoint(eager=True)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` (columns as lists in, columns as lists out) to every Arrow batch, without a shuffle."""
     arrow = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)

@@ -35,9 +35,9 @@ from skein.llm.common import cut, slices
 LENGTH = 4096
 END = 2
 #: Tokens of a group, words whose ids a task keeps.
-GROUP_TOKENS, CACHE_WORDS = 1 << 20, 450_000
+GROUP_TOKENS, CACHE_WORDS = 4 << 20, 450_000
 #: A bin with at most 1/SLACK free is padded as it is.
-SLACK = 128
+SLACK = 64
 
 
 @functools.cache
