@@ -13,7 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Kinds of links that aren't articles.
 SPECIAL = ("File:", "Image:", "Category:")
+#: What emphasis, items and blank lines become in Markdown, and what is left of markup in an infobox value, each in the order of use.
+MARKDOWN = (("'''(.+?)'''", r"**\1**"), ("''(.+?)''", r"*\1*"), (r"(?m)^\* ", "- "), (r"\n{3,}", "\n\n"))
+VALUE = (("'''(.+?)'''", r"\1"), ("''(.+?)''", r"\1"), (r"<br\s*/?>", ", "), ("<[^>]+>", ""), (r"\s+", " "))
 _OPEN = re.compile(r"\{\{|\}\}|\[\[|\]\]")
 _HEADING = re.compile(r"^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t]*$", re.M)
 _EXTERNAL = re.compile(r"\[((?:https?|ftp)://[^\s\]]+)[ \t]+([^\]\n]+)\]")
@@ -70,6 +74,12 @@ def wiki_links(text: str | None) -> list[str]:
     return list(dict.fromkeys(t for t in targets if not t.startswith(SPECIAL)))
 
 
+def _replaced(text: str, table: tuple[tuple[str, str], ...]) -> str:
+    for pattern, new in table:
+        text = re.sub(pattern, new, text)
+    return text
+
+
 def _convert_links(text: str, redirects: dict[str, str]) -> str:
     out, at = [], 0
     for a, b in outermost(text, "[["):
@@ -107,10 +117,7 @@ def to_markdown(text: str | None, redirects: dict[str, str] | None = None) -> st
         return ""
     text = _convert_links(_before_links(text), redirects or {})
     text = _EXTERNAL.sub(lambda m: f"[{m[2].strip()}]({m[1]})", text)
-    text = re.sub(r"'''(.+?)'''", r"**\1**", text)
-    text = re.sub(r"''(.+?)''", r"*\1*", text)
-    text = re.sub(r"^\* ", "- ", text, flags=re.M)
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    return _replaced(text, MARKDOWN).strip()
 
 
 def _parameters(inner: str) -> list[str]:
@@ -131,11 +138,7 @@ def _plain(value: str) -> str:
         out += [value[at:a], "" if target.startswith(SPECIAL[:2]) else (display or target).strip()]
         at = b
     value = "".join(out) + value[at:]
-    value = _without(value, outermost(value, "{{"))
-    value = re.sub(r"'''(.+?)'''", r"\1", value)
-    value = re.sub(r"''(.+?)''", r"\1", value)
-    value = re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", ", ", value))
-    return " ".join(value.split())
+    return _replaced(_without(value, outermost(value, "{{")), VALUE).strip()
 
 
 def infobox(text: str | None, redirects: dict[str, str] | None = None) -> tuple[str | None, list[str]]:

@@ -14,6 +14,17 @@ PROGRESS = "id string, article_id string, article_last_updated string, status st
 STATES = ("pending", "processing", "completed", "failed")
 
 
+#: Earlier and present schemas of the progress table.
+VERSIONS = {1: "id string, article_id string, article_last_updated string, status string, created_at timestamp", 2: PROGRESS}
+
+
+def migrate(progress: DataFrame, version: int = max(VERSIONS)) -> DataFrame:
+    """The progress table in the schema of a version, up or down."""
+    if version not in VERSIONS:
+        raise ValueError(f"unknown version {version}")
+    return conform(progress, VERSIONS[version])
+
+
 def conform(rows: DataFrame, schema: str = PROGRESS) -> DataFrame:
     """``rows`` brought to a later (or earlier) schema: new columns are null, dropped ones go, types are cast."""
     fields = [f.strip().split(" ", 1) for f in schema.split(",")]

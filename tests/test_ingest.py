@@ -267,6 +267,10 @@ def test_schema_changes(spark):
     old = spark.createDataFrame([("1", "a", 5)], "id string, article_id string, gone int")
     new = ingest.conform(old)
     assert [f.split()[0] for f in ingest.PROGRESS.split(", ")] == new.columns and new.first()["status"] is None
+    down = ingest.migrate(new, 1)
+    assert "batch_number" not in down.columns and ingest.migrate(down).columns == new.columns
+    with pytest.raises(ValueError):
+        ingest.migrate(new, 9)
 
 
 def test_store_drop(spark, tmp_path):
