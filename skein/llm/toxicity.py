@@ -86,7 +86,7 @@ def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np
     return prior * sigmoid(zp) / len(zp), -sigmoid(zu) / len(zu)  # step back
 
 
-def train(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.1, l2: float = 3e-4) -> tuple[np.ndarray, float]:
+def train(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Non-negative PU training on positive rows ``xp`` and unlabelled rows ``xu``: weights and bias.
 
     Full-batch Adam minimises the corrected logistic risk.
