@@ -99,7 +99,7 @@ def run_store(spark: SparkSession, a: argparse.Namespace) -> None:
         return
     if a.index:
         try:
-            keyword.build(store.rows().withColumnRenamed("id", "chunk_id"), lowercase=from_env(KeywordConfig, "BM25_").tokenize_lowercase).save(a.index)
+            keyword.build(store.rows().withColumnRenamed("id", "chunk_id"), lowercase=from_env(KeywordConfig, "BM25_").tokenize_lowercase, path=a.index)
         except Exception as e:  # the rows are stored; build-bm25 makes the index later
             log.event("keyword_index_failed", error=str(e))
             print(f"warning: the chunks are stored, but no keyword index could be made: {e}", file=sys.stderr)
@@ -114,8 +114,7 @@ def build_bm25(spark: SparkSession, a: argparse.Namespace) -> None:
     """A keyword index of chunks (a store, or a Parquet table of chunks)."""
     rows = _chunks(spark, a.chunks)
     config = from_env(KeywordConfig, "BM25_")
-    made = keyword.build(rows.withColumnRenamed("id", "chunk_id") if "id" in rows.columns else rows, lowercase=a.lowercase or config.tokenize_lowercase)
-    made.save(a.output or config.index_path)
+    made = keyword.build(rows.withColumnRenamed("id", "chunk_id") if "id" in rows.columns else rows, lowercase=a.lowercase or config.tokenize_lowercase, path=a.output or config.index_path)
     _show(keyword.stats(made))
 
 

@@ -47,4 +47,10 @@ def retrieve(index: keyword.KeywordIndex, vectors: DataFrame, queries: DataFrame
             log.event("search_branch", branch=name, seconds=round(time.perf_counter() - began, 3))
         return found
 
-    return fuse(branch("vector", lambda: vector.search_batch(vectors, query_vectors, k, filters)), branch("keyword", lambda: keyword.search(index, queries, k)), config, k)
+    def nearest() -> DataFrame:
+        if len(query_vectors) > 1:
+            return vector.search_batch(vectors, query_vectors, k, filters)
+        ((name, one),) = query_vectors.items()  # a single vector is an expression, without a Python worker
+        return vector.search(vectors, one, k, filters).withColumn("query_id", F.lit(name))
+
+    return fuse(branch("vector", nearest), branch("keyword", lambda: keyword.search(index, queries, k)), config, k)

@@ -160,7 +160,7 @@ def ingest(articles: DataFrame, store, embed, metadata, index_path: str | None =
     store.replace_articles(sound)
     if index_path and store.count():
         try:
-            keyword.build(store.rows().withColumnRenamed("id", "chunk_id")).save(index_path)
+            keyword.build(store.rows().withColumnRenamed("id", "chunk_id"), path=index_path)
         except Exception as e:  # the store is complete; the index can be built again
             out["index_error"] = str(e)
             log.event("keyword_index_failed", run=run, error=str(e))

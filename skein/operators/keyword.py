@@ -1,9 +1,10 @@
 """BM25 keyword index and search.
 
-The index is built once, from one pass over the texts: postings (term, chunk_id, pos, dl, tf), docs
-(chunk_id, pos, dl), terms (term, df, idf), the first chunks by position, and one row of
-statistics, which is also held on the driver.  It is saved as Parquet with postings in ranges of (term, chunk),
-so that a frequent term fills several files and a search reads only the row groups of its terms.
+The index is built once, from one pass over the texts, and lies in Parquet folders: postings
+(term, chunk_id, pos, dl, tf) in buckets by a hash of the term, terms (term, df, idf), the first chunks by
+position, and one row of statistics, which is also held on the driver.  A bucket is spread over several
+files by a hash of the chunk, so that a frequent term fills no task; files are sorted by term, so that a search
+reads the folders and row groups of its terms only.
 
 Queries come in batches: every operator carries ``query_id``, so many
 queries are one job.  Scores are rounded before they are ordered, so ties don't depend on
@@ -13,6 +14,7 @@ the order of a sum.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,67 +26,108 @@ from skein.session import ValidationError
 
 #: Fixed values of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: First chunks by position that an index holds, to fill short lists; terms of a batch that are looked up by value.
-FILLERS, MOST_LITERALS = 2000, 1000
+#: First chunks by position that an index holds, to fill short lists; queries of a batch that are read by the driver; files that are looked at one by one.
+FILLERS, FEW_QUERIES, FEW_FILES = 2000, 1000, 256
+#: Buckets of terms, and files of a bucket.
+BUCKETS, SPREAD = 32, 4
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass
 class KeywordIndex:
-    postings: DataFrame
-    docs: DataFrame
-    terms: DataFrame
-    fillers: DataFrame
-    stats: DataFrame
-    lowercase: bool = False
+    """An index under ``path``, with its statistics in ``facts``."""
+
+    spark: SparkSession
+    path: str
+    facts: dict
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{table}")
+
+    @property
+    def lowercase(self) -> bool:
+        return self.facts["lowercase"]
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.read("postings").where("term <> ''")
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.read("postings").where((F.col("bucket") == _bucket(F.lit(""))) & (F.col("term") == "")).select("chunk_id", "pos", "dl")
 
-    def __post_init__(self) -> None:
-        self.facts = self.stats.first().asDict()
+    @property
+    def terms(self) -> DataFrame:
+        idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.lit(EPSILON * (self.facts["avg_idf"] or 0.0)))
+        return self.read("terms").select("term", "df", idf.alias("idf"))
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.read("stats")
 
     def save(self, path: str) -> None:
-        """The tables as Parquet folders under ``path``; the statistics come last, so an index with them is complete."""
-        self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.fillers.coalesce(1).write.mode("overwrite").parquet(f"{path}/fillers")
-        self.stats.withColumn("lowercase", F.lit(self.lowercase)).write.mode("overwrite").parquet(f"{path}/stats")
-        log.event("keyword_index_saved", path=path, **self.facts)
+        """A copy of the index under ``path``; the statistics come last, so an index with them is complete."""
+        shared.delete(self.spark, f"{path}/stats")
+        self.read("postings").repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        for table in ("terms", "fillers", "stats"):
+            self.read(table).write.mode("overwrite").parquet(f"{path}/{table}")
 
 
 def load(spark: SparkSession, path: str) -> KeywordIndex:
-    read = lambda t: spark.read.parquet(f"{path}/{t}")
-    stats = read("stats")
-    return KeywordIndex(read("postings"), read("docs"), read("terms"), read("fillers"), stats.drop("lowercase"), bool(stats.first()["lowercase"]))
+    return KeywordIndex(spark, path, spark.read.parquet(f"{path}/stats").first().asDict())
 
 
-def build(chunks: DataFrame, id_column: str = "chunk_id", text: str = "chunk_text", order: str | None = None, lowercase: bool = False) -> KeywordIndex:
-    """An index of ``chunks``; ``order`` (the id by default) breaks ties between scores; no chunks is an error."""
-    words = chunks.select(F.col(id_column).alias("chunk_id"), F.col(order or id_column).alias("pos"), tokens(F.coalesce(text, F.lit("")), lowercase).alias("words"))
+def build(chunks: DataFrame, id_column: str = "chunk_id", text: str = "chunk_text", order: str | None = None, lowercase: bool = False, path: str | None = None) -> KeywordIndex:
+    """An index of ``chunks`` under ``path`` (a new one in the shared folder by default); ``order`` (the id by default) breaks ties between scores; no chunks is an error."""
+    spark = chunks.sparkSession
+    if not chunks.take(1):
+        raise ValidationError("there are no chunks to index")
+    path = path or shared.scratch(spark, "keyword")
+    shared.delete(spark, f"{path}/stats")
+    words = chunks.select(F.col(id_column).alias("chunk_id"), F.col(order or id_column).alias("pos"), F.coalesce(text, F.lit("")).alias("t")).repartition("chunk_id")
+    words = words.select("chunk_id", "pos", tokens(F.col("t"), lowercase).alias("words"))
     # a posting carries its chunk's position and length, so a search joins nothing else; the empty term, which
-    # no text has, stands for the chunk itself, so that chunks without words come out of the same pass
+    # no text has, stands for the chunk itself, so that chunks without words come out of the same pass.
+    # Chunks are dealt out by their ids, so their words are counted where they are
     each = words.select("chunk_id", "pos", F.size("words").cast("long").alias("dl"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
-    all_ = shared.materialise(each.groupBy("term", "chunk_id", "pos", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    docs, postings = all_.where("term = ''").select("chunk_id", "pos", "dl"), all_.where("term <> ''")
-    sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")).first()
-    if not sizes["n_docs"]:
-        raise ValidationError("there are no chunks to index")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = shared.materialise(df.select("term", "df", (F.log(F.lit(sizes["n_docs"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
-    mean = raw.agg(F.avg("raw").alias("avg_idf"), F.count(F.lit(1)).alias("n_terms")).first()
-    terms = raw.select("term", "df", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(EPSILON * F.lit(mean["avg_idf"])).alias("idf"))
-    facts = [(sizes["n_docs"], sizes["avgdl"], sizes["n_tokens"], mean["avg_idf"], mean["n_terms"])]
-    stats_ = chunks.sparkSession.createDataFrame(facts, "n_docs long, avgdl double, n_tokens long, avg_idf double, n_terms long")
-    return KeywordIndex(postings, docs, terms, docs.orderBy("pos").limit(FILLERS).select("chunk_id", "pos"), stats_, lowercase)
+    counted = each.groupBy("term", "chunk_id", "pos", "dl").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket(F.col("term")))
+    dealt = counted.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index = KeywordIndex(spark, path, {"lowercase": lowercase, "avg_idf": None})
+    sizes = index.docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")).first()
+    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df.select("term", "df", (F.log(F.lit(sizes["n_docs"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    mean = index.read("terms").agg(F.avg("raw").alias("avg_idf"), F.count(F.lit(1)).alias("n_terms")).first()
+    index.docs.orderBy("pos").limit(FILLERS).select("chunk_id", "pos").coalesce(1).write.mode("overwrite").parquet(f"{path}/fillers")
+    facts = {"n_docs": sizes["n_docs"], "avgdl": sizes["avgdl"], "n_tokens": sizes["n_tokens"], "avg_idf": mean["avg_idf"], "n_terms": mean["n_terms"], "lowercase": lowercase}
+    spark.createDataFrame([tuple(facts.values())], "n_docs long, avgdl double, n_tokens long, avg_idf double, n_terms long, lowercase boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    log.event("keyword_index_built", path=path, **facts)
+    return KeywordIndex(spark, path, facts)
+
+
+def _mark(chunks: DataFrame) -> str:
+    """What tells the files that ``chunks`` reads from others: names, sizes and times."""
+    spark, files = chunks.sparkSession, sorted(chunks.inputFiles())
+    if len(files) > FEW_FILES:
+        named = chunks.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        return str(tuple(named.agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()))
+    out = []
+    for f in files:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return str(out)
 
 
 def stored(chunks: DataFrame, name: str, id_column: str = "chunk_id", text: str = "chunk_text", order: str | None = None, lowercase: bool = False) -> KeywordIndex:
     """The index of ``chunks`` in the shared folder under ``name``, built if it isn't there or if the files that ``chunks`` reads have changed."""
     spark = chunks.sparkSession
-    files = chunks.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
-    path = f"{shared.folder(spark)}/keyword-{hashlib.sha256(f'{name} {tuple(mark)} {id_column} {text} {order} {lowercase}'.encode()).hexdigest()[:32]}"
-    if not shared.exists(spark, f"{path}/stats/_SUCCESS"):
-        build(chunks, id_column, text, order, lowercase).save(path)
-    return load(spark, path)
+    mark = hashlib.sha256(f"{name} {_mark(chunks)} {id_column} {text} {order} {lowercase}".encode()).hexdigest()
+    path = f"{shared.folder(spark)}/keyword-{mark[:32]}"
+    return load(spark, path) if shared.exists(spark, f"{path}/stats/_SUCCESS") else build(chunks, id_column, text, order, lowercase, path)
 
 
 def stats(index: KeywordIndex) -> DataFrame:
@@ -97,9 +140,25 @@ def query_terms(queries: DataFrame, lowercase: bool = False) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"), lowercase)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _score(avgdl: float) -> Column:
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return F.round(F.sum(F.col("times") * F.col("idf") * part), 6)
+def _asked(index: KeywordIndex, queries: DataFrame, check: bool) -> tuple[DataFrame, DataFrame, dict[str, int] | None]:
+    """``(query_id)`` of the queries, their terms ``(query_id, term, weight)`` with weight = times * idf, and each term's bucket if the batch is small."""
+    spark = queries.sparkSession
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    few = queries.select("query_id", tokens(F.coalesce("text", F.lit("")), index.lowercase).alias("words"), blank.alias("blank")).limit(FEW_QUERIES + 1).collect()
+    if len(few) > FEW_QUERIES:
+        if check and queries.where(blank).take(1):
+            raise ValidationError("a query is empty")
+        weighed = query_terms(queries, index.lowercase).join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+        return queries.select("query_id").distinct(), weighed, None
+    if check and any(r["blank"] for r in few):
+        raise ValidationError("a query is empty")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    terms = sorted({w for r in few for w in r["words"]})
+    found = index.terms.where(F.col("term").isin(terms)).withColumn("bucket", _bucket(F.col("term"))).collect() if terms else []  # no more than the queries' own terms
+    idf = {r["term"]: r["idf"] for r in found}
+    weighed = [(r["query_id"], w, float(n * idf[w])) for r in few for w, n in Counter(r["words"]).items() if w in idf]
+    ids = spark.createDataFrame([(i,) for i in dict.fromkeys(r["query_id"] for r in few)], f"query_id {kind}")
+    return ids, spark.createDataFrame(weighed, f"query_id {kind}, term string, weight double"), {r["term"]: r["bucket"] for r in found}
 
 
 def search(index: KeywordIndex, queries: DataFrame, k: int = 20, check: bool = True) -> DataFrame:
@@ -109,19 +168,18 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20, check: bool = T
     position.  A list of ``k`` needs no more than the first 2k chunks for that, unless the
     mean idf is negative (a tiny corpus), when all may be needed.
     """
-    if check and queries.where(F.trim(F.coalesce("text", F.lit(""))) == "").take(1):
-        raise ValidationError("a query is empty")
-    asked, terms, postings = query_terms(queries, index.lowercase), index.terms.select("term", "idf"), index.postings
-    few = [r["term"] for r in asked.select("term").distinct().limit(MOST_LITERALS + 1).collect()]
-    if len(few) <= MOST_LITERALS:  # the scans skip what holds none of them
-        terms, postings = terms.where(F.col("term").isin(few)), postings.where(F.col("term").isin(few))
-    hits = asked.join(terms, "term").join(postings, "term")
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.first("pos").alias("pos"), _score(index.facts["avgdl"] or 1.0).alias("score"))
+    ids, weighed, terms = _asked(index, queries, check)
+    postings = index.postings
+    if terms is not None:
+        postings = postings.where(F.col("bucket").isin(sorted(set(terms.values()))) & F.col("term").isin(sorted(terms)))
+        weighed = F.broadcast(weighed)  # the terms of at most FEW_QUERIES queries
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.facts["avgdl"] or 1.0)))
+    hits = postings.join(weighed, "term").select("query_id", "chunk_id", "pos", (F.col("weight") * part).alias("part"))
     if (index.facts["avg_idf"] or 0) < 0:
         first = index.docs.select("chunk_id", "pos")
     else:
-        first = (index.fillers if 2 * k <= FILLERS else index.docs.select("chunk_id", "pos")).orderBy("pos").limit(2 * k)
-    blank = queries.select("query_id").distinct().crossJoin(first).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+        first = (index.read("fillers") if 2 * k <= FILLERS else index.docs.select("chunk_id", "pos")).orderBy("pos").limit(2 * k)
+    blank = first.crossJoin(F.broadcast(ids) if terms is not None else ids).select("query_id", "chunk_id", "pos", F.lit(0.0).alias("part"))
+    scored = hits.unionByName(blank).groupBy("query_id", "chunk_id").agg(F.first("pos").alias("pos"), F.round(F.sum("part"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
-    both = scored.unionByName(blank.withColumn("score", F.lit(0.0)))
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")

@@ -258,7 +258,7 @@ def bm25_saved_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index saved over an older one of fewer chunks, loaded, and searched."""
     path, docs = shared.scratch(spark, "index"), table(spark, sf_dir, "documents")
     keyword.build(docs.limit(10), "doc_id", "text").save(path)
-    keyword.build(docs, "doc_id", "text").save(path)
+    keyword.build(docs, "doc_id", "text", path=path)
     return keyword.search(keyword.load(spark, path), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
 
 
