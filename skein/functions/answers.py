@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.session import ConfigurationError, ProviderError
+from skein.shared import exists
 
 #: Language names, headers, most sources, model prefixes and the default model.
 LANGUAGES = {"hu": "Hungarian", "en": "English"}
@@ -59,19 +61,22 @@ display_discord = display
 
 
 class Templates:
-    """Template files of a folder, read once each."""
+    """Template files of a folder, read once each; with a session from any file system that Spark knows, else from the local one."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, spark: SparkSession | None = None):
         from pathlib import Path
 
-        self.folder, self.cache = Path(folder), {}
-        if not self.folder.is_dir():
+        self.folder, self.spark, self.cache = folder, spark, {}
+        if not (exists(spark, folder) if spark else Path(folder).is_dir()):
             raise ConfigurationError(f"no folder {folder}")
 
     def load(self, name: str) -> str:
         if name not in self.cache:
+            path = f"{self.folder}/{name}"
             try:
-                self.cache[name] = (self.folder / name).read_text(encoding="utf-8")
+                if self.spark and not exists(self.spark, path):
+                    raise FileNotFoundError(path)
+                self.cache[name] = self.spark.read.text(path, wholetext=True).first()[0] if self.spark else open(path, encoding="utf-8").read()
             except FileNotFoundError as e:
                 raise ConfigurationError(f"no template {name}") from e
         return self.cache[name]
@@ -123,6 +128,30 @@ class Router:
         return out | {"answer": structured(out["text"])}
 
 
+def generate(rows: DataFrame, router: Callable[[], Router], system: str, prompt: str = "prompt", model: str = "model") -> DataFrame:
+    """``rows`` with reply, prompt_tokens, completion_tokens, cost_usd and error: one call for each row, by a router made in each task.
+
+    A call that fails for good leaves its row with an error and no reply.
+    """
+    new = "reply string, prompt_tokens int, completion_tokens int, cost_usd double, error string"
+    have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = router()
+        for part in batches:
+            out: list[tuple] = []
+            for text, name in zip(part[prompt], part[model]):
+                try:
+                    got = made.generate(system, text, name)
+                    out.append((got["text"], got["prompt_tokens"], got["completion_tokens"], got["cost_usd"], None))
+                except (ProviderError, ValueError) as e:
+                    out.append((None, None, None, None, str(e)))
+            columns = pd.DataFrame(out, columns=["reply", "prompt_tokens", "completion_tokens", "cost_usd", "error"], index=part.index)
+            yield pd.concat([part, columns.astype({"prompt_tokens": "Int32", "completion_tokens": "Int32"})], axis=1)
+
+    return rows.mapInPandas(run, f"{have}, {new}")
+
+
 def structured(text: str) -> dict:
     """A structured answer from JSON; ``ValueError`` where a rule is broken."""
     a = json.loads(text)

@@ -601,6 +601,6 @@ def markdown_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the further modules register their queries when they are imported
-from skein.plans import articles, files, states, streams  # noqa: E402
+from skein.plans import articles, commands, files, states, streams  # noqa: E402
 
-__all__ = ["ORACLE_SQL", "QUERIES", "articles", "files", "states", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "articles", "commands", "files", "states", "streams"]
