@@ -24,9 +24,9 @@ def link_list(hits: DataFrame, most: int | None = None) -> DataFrame:
 
 def _step(sources: DataFrame, seen: DataFrame, chunks: DataFrame, per_link: int, most: int | None) -> DataFrame:
     """New chunks ``(query_id, chunk_id, pos, links)`` for the links of ``sources``, in order and without those seen."""
-    linked = link_list(sources, most)
+    linked = shared.small(shared.materialise(link_list(sources, most)))
     # only linked articles' chunks are shuffled; the per-link limit comes before the seen filter
-    named = linked.select(F.col("link").alias("article_title")).distinct()
+    named = linked.select(F.col("link").alias("article_title"))
     order = Window.partitionBy("article_title").orderBy("chunk_index", "chunk_id")
     top = chunks.join(named, "article_title", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_link)
     found = linked.join(top, F.col("link") == F.col("article_title")).select("query_id", "chunk_id", "link_pos", "n", "links")
@@ -41,13 +41,13 @@ def expand(hits: DataFrame, chunks: DataFrame, config: ExpansionConfig = Expansi
     ``hits`` has (query_id, chunk_id, score, rank); ``chunks`` has (chunk_id, article_title,
     chunk_index, links); hits without a stored chunk go.  The result has at most ``max_chunks`` rows for a query.
     """
-    base = shared.materialise(hits.join(chunks.select("chunk_id", "links"), "chunk_id").select("query_id", "chunk_id", "score", "rank", "links"))
+    base = shared.small(shared.materialise(hits.join(chunks.select("chunk_id", "links"), "chunk_id").select("query_id", "chunk_id", "score", "rank", "links")))
     out = base.select("query_id", "chunk_id", "score", F.lit(0).alias("depth"), F.col("rank").alias("pos"))
     if config.depth >= 1:
         one = _step(base, base.select("query_id", "chunk_id"), chunks, config.per_link_1, config.max_chunks)
         held = base.groupBy("query_id").agg(F.count(F.lit(1)).alias("held"))
         one = one.join(held, "query_id").where(F.col("pos") <= config.max_chunks - F.col("held")).drop("held")
-        one = shared.materialise(one) if config.depth == 2 else one
+        one = shared.small(shared.materialise(one)) if config.depth == 2 else one
         out = out.unionByName(one.select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(1).alias("depth"), "pos"))
         if config.depth == 2:
             seen = out.select("query_id", "chunk_id")

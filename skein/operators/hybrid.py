@@ -53,4 +53,5 @@ def retrieve(index: keyword.KeywordIndex, vectors: DataFrame, queries: DataFrame
         ((name, one),) = query_vectors.items()  # a single vector is an expression, without a Python worker
         return vector.search(vectors, one, k, filters).withColumn("query_id", F.lit(name))
 
-    return fuse(branch("vector", nearest), branch("keyword", lambda: keyword.search(index, queries, k)), config, k)
+    found = fuse(branch("vector", nearest), branch("keyword", lambda: keyword.search(index, queries, k)), config, k)
+    return F.broadcast(found) if k * len(query_vectors) <= shared.SMALL else found  # at most k rows a query: rows are joined to hits without a shuffle

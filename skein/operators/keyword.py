@@ -108,6 +108,10 @@ def build(chunks: DataFrame, id_column: str = "chunk_id", text: str = "chunk_tex
     return KeywordIndex(spark, path, facts)
 
 
+#: Indexes that ``stored`` has opened, by application and path.
+_LOADED: dict[tuple[str, str], KeywordIndex] = {}
+
+
 def _mark(chunks: DataFrame) -> str:
     """What tells the files that ``chunks`` reads from others: names, sizes and times."""
     spark, files = chunks.sparkSession, sorted(chunks.inputFiles())
@@ -127,7 +131,10 @@ def stored(chunks: DataFrame, name: str, id_column: str = "chunk_id", text: str
     spark = chunks.sparkSession
     mark = hashlib.sha256(f"{name} {_mark(chunks)} {id_column} {text} {order} {lowercase}".encode()).hexdigest()
     path = f"{shared.folder(spark)}/keyword-{mark[:32]}"
-    return load(spark, path) if shared.exists(spark, f"{path}/stats/_SUCCESS") else build(chunks, id_column, text, order, lowercase, path)
+    if (spark.sparkContext.applicationId, path) not in _LOADED:  # a path names its content
+        made = load(spark, path) if shared.exists(spark, f"{path}/stats/_SUCCESS") else build(chunks, id_column, text, order, lowercase, path)
+        _LOADED[spark.sparkContext.applicationId, path] = made
+    return _LOADED[spark.sparkContext.applicationId, path]
 
 
 def stats(index: KeywordIndex) -> DataFrame:

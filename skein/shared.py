@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.session import ConfigurationError
 
@@ -45,6 +46,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that may be broadcast once they have been counted.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A materialised table of few columns, marked for a broadcast if it has been counted to have at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark knows."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
