@@ -56,4 +56,4 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_html": op2_html, "op9_sentencepiece": op9_sentencepiece, "op1_toxicity": op1_toxicity, "op3_topk": op3_topk, "op7_urls": op7_urls, "op5_pii": op5_pii, "op8_secrets": op8_secrets, "op6_simhash": op6_simhash, "op4_packing": op4_packing, "op10_quality": op10_quality}
-ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL, "op7_urls": urls.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL, "op7_urls": urls.oracle_sql(), "op8_secrets": secrets.oracle_sql()}

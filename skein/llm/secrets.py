@@ -180,3 +180,29 @@ def redact(docs: DataFrame, mask: str = "<secret>", repository: tuple[str, ...]
         fields["n_chars"] = F.when(F.col("cuts").isNull(), F.col("doc.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType)).alias("n_chars")
     quiet = rows.where(F.size("found") == 0).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
     return docs.where(~some).unionByName(quiet).unionByName(new.select(*fields.values()))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of ``find`` over ``documents``: matches and the texts between them, then the same counts and verdicts."""
+    each = []
+    for number, kind in enumerate(KINDS):
+        # without look-around: a token is a longest run of its characters that has a digit and a letter
+        pattern, group, least = BASE.get(kind, ("[A-Za-z0-9_+/=-]{20,}", 0, 0))
+        pattern = pattern.replace("'", "''").replace("}+", "}")
+        each.append(
+            f"select r, repository, owner, {number} as k, '{kind}' as kind, unnest(regexp_extract_all(t, '{pattern}', 0)) as w, unnest(regexp_extract_all(t, '{pattern}', {group})) as value, "
+            f"unnest(list_transform(string_split_regex(t, '{pattern}')[:-2], lambda g: length(g))) as gap, generate_subscripts(regexp_extract_all(t, '{pattern}', 0), 1) as n, {least} as least from d where regexp_matches(t, '{pattern}')"
+        )
+    counts = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in BASE)
+    joined = lambda name, cond: f"coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by a, k) filter ({cond}), '') as {name}"
+    return f"""
+with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as t, coalesce(source, chr(0)) as owner, coalesce(source, chr(0)) || chr(1) || coalesce(lang, chr(0)) as repository from documents),
+m as ({" union all ".join(each)}),
+placed as (select *, sum(gap + length(w)) over (partition by r, k order by n) as b from m),
+spans as (select r, repository, owner, k, kind, value, (b - length(w))::bigint as a, b::bigint as b from placed
+  where length(value) >= least and (kind <> 'token' or (regexp_matches(w, '[0-9]') and regexp_matches(w, '[A-Za-z]')))),
+owned as (select value, count(distinct repository) <= {MOST_REPOSITORIES} and count(distinct owner) <= {MOST_OWNERS} as live from spans group by value),
+judged as (select spans.*, live from spans join owned using (value)),
+kept as (select * from judged j where kind <> 'token' or (live and not exists (select 1 from judged o where o.r = j.r and o.kind <> 'token' and o.a < j.b and j.a < o.b))),
+told as (select r, {counts}, {joined('base', "kind <> 'token'")}, {joined('spans', 'true')}, {joined('live', 'live')} from kept group by r)
+select d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(live, '') as live from d left join told using (r)"""

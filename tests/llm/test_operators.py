@@ -681,6 +681,21 @@ def test_ownership_and_verdicts_equal_brute_force(spark, hot, monkeypatch):
     assert all(x["live"] == (len(want[x["value"]][0]) <= 2 and len(want[x["value"]][1]) <= 1) for x in judged)
 
 
+def test_secrets_equal_their_sql(spark):
+    import duckdb
+
+    key = "sk_Live9a8b7c6d5e4f3g2h1i0j"
+    rows = [(i, t, ["en", "de", None][i % 3], ["o1", "o2", None][i % 4 % 3]) for i, t in enumerate([*SECRETS, f"é👍 {key} {HEX}", f"{key} token={HEX}{HEX}", f"api_key='{HEX}' {key}z", "=" * 30, "A1" * 12, "ab" * 12 + "AKIA" * 8])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = secrets.find(table)
+    columns = sorted(got.columns)
+    db = duckdb.connect()
+    documents = table.toPandas()  # noqa: F841
+    want = db.execute(f"select {', '.join(columns)} from ({secrets.oracle_sql()})").fetchall()
+    rows = got.select(*columns).collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want)) and any("token:" in r["spans"] for r in rows)
+
+
 def test_secret_verdicts_by_owner_and_repository(spark):
     token, many = "sk_Live9a8b7c6d5e4f3g2h1i0j", "demoKey0Demo1Key2Demo3Key4"
     rows = [(1, f"x {token} y", "en", "o1"), (2, f"x {token} y", "de", "o1"), (3, f"a {many}", "en", "o2"), (4, f"a {many}", "de", "o2"), (5, f"a {many}", "fr", "o2"), (6, f"token={HEX}", "en", "o1"), (7, f"token={HEX}", "en", "o3")]
