@@ -139,9 +139,10 @@ def ingest(articles: DataFrame, store, embed, metadata, index_path: str | None =
 
     Of rows with the same id the first counts.  ``embed`` adds the column ``embedding`` to chunks and ``metadata`` further columns.  An article with
     a failed chunk keeps its stored version; that all articles fail is an error.  The keyword index is then rebuilt from the whole
-    store; a failure there is reported, not raised.  Returns counters as a dict.
+    store; a failure there is reported, not raised.  Returns counters, tokens and cost as a dict, the run's summary.
     """
     from skein.operators import chunking, keyword
+    from skein.operators.embed import usage
 
     run = uuid.uuid4().hex[:8]
     log.event("ingest_started", run=run, store=store.path, mode=mode, force=force, dry_run=dry_run)
@@ -154,7 +155,8 @@ def ingest(articles: DataFrame, store, embed, metadata, index_path: str | None =
     made = shared.materialise(embed(chunks.withColumnRenamed("chunk_id", "id")))  # vectors are computed once
     failed = made.where("embedding is null").select("wiki_page_id").distinct()
     sound = made.join(failed, "wiki_page_id", "left_anti")
-    out |= {"chunks": sound.count(), "failed": failed.count()}
+    used = usage(made).first()
+    out |= {"chunks": sound.count(), "failed": failed.count(), "tokens": used["tokens"], "cost_usd": used["cost_usd"]}
     if out["failed"] and not out["chunks"]:
         raise ValidationError("no chunk could be embedded")
     store.replace_articles(sound)

@@ -188,9 +188,9 @@ def test_ingest_and_again(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "s"))
     articles = spark.createDataFrame([("1", "A", "v1", "## H\nText [x](B)"), ("2", "B", "v1", "Other text")], "wiki_id string, title string, last_updated string, content string")
     run = lambda a: ingest.ingest(a, store, lambda c: embed.embed(c, embed.hashing(16)), metadata.extract, str(tmp_path / "i"))
-    assert run(articles) == {"add": 2, "chunks": 2, "failed": 0}
+    assert run(articles) == {"add": 2, "chunks": 2, "failed": 0, "tokens": 6, "cost_usd": 0.0}
     assert store.count() == 2 and store.get("1_0").first()["links"] == ["B"]
-    assert run(articles) == {"skip": 2, "chunks": 0, "failed": 0}
+    assert run(articles) == {"skip": 2, "chunks": 0, "failed": 0, "tokens": 0, "cost_usd": 0.0}
     changed = articles.withColumn("last_updated", F.when(F.col("wiki_id") == "2", "v2").otherwise(F.col("last_updated")))
     assert run(changed)["update"] == 1 and store.count() == 2
     assert ingest.ingest(articles.limit(1), store, None, metadata.extract, force=True, dry_run=True)["chunks"] == 1
@@ -200,7 +200,7 @@ def test_ids_seen_again_in_a_run_are_passed_over(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "s"))
     articles = spark.createDataFrame([("1", "A", "v1", "first text"), ("1", "A", "v2", "second text"), ("2", "B", "v1", "x y")], "wiki_id string, title string, last_updated string, content string").coalesce(1)
     out = ingest.ingest(articles, store, lambda c: embed.embed(c, embed.hashing(4)), metadata.extract)
-    assert out == {"add": 2, "chunks": 2, "failed": 0}
+    assert out == {"add": 2, "chunks": 2, "failed": 0, "tokens": 2, "cost_usd": 0.0}
     assert sorted((r["id"], r["article_last_updated"], r["chunk_text"]) for r in store.rows().collect()) == [("1_0", "v1", "first text"), ("2_0", "v1", "x y")]
 
 
