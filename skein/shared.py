@@ -13,6 +13,8 @@ from skein.session import ConfigurationError
 
 #: Temporary folders of local applications.
 _LOCAL: dict[str, str] = {}
+#: Scratch folders of applications.
+_SCRATCH: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
@@ -33,17 +35,32 @@ def folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str = "scratch") -> str:
-    """A new path in the shared folder."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one of this application's own, which goes when the driver's JVM ends."""
+    base = f"{folder(spark)}/skein-{spark.sparkContext.applicationId}"
+    if base not in _SCRATCH:
+        place = spark._jvm.org.apache.hadoop.fs.Path(base)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _SCRATCH.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, written to the shared folder; Spark deletes the files when nothing refers to them any more."""
+    """``df`` without its lineage, written to the shared folder.
+
+    Spark deletes the files when nothing refers to them any more, and what is left goes when the driver's JVM ends.
+    """
     context = df.sparkSession.sparkContext
     context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    written = made._jdf.logicalPlan().rdd().getCheckpointFile()
+    if written.isDefined():
+        place = context._jvm.org.apache.hadoop.fs.Path(written.get())
+        place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return made
 
 
 #: Rows of a table that may be broadcast once they have been counted.
