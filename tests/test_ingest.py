@@ -172,6 +172,11 @@ def test_embedding_keeps_rows_and_skips_blanks(spark):
     assert abs(sum(x * x for x in got[0]["embedding"]) - 1) < 1e-5
 
 
+def test_a_text_whose_words_cancel_out_has_a_vector_of_norm_1():
+    (vector,) = embed.hashing(16)()(["Der stsch erung erau."])
+    assert abs(float((vector**2).sum()) - 1) < 1e-5 and not embed.hashing(16)()([" "])[0].any()
+
+
 def test_retries():
     waits, calls = [], []
 
