@@ -86,9 +86,14 @@ def rate(bad: Column, good: Column) -> Column:
     return F.when(bad + good == 0, 0.0).otherwise(100.0 * bad / F.nullif(bad + good, F.lit(0)))
 
 
+def rounded(number: Column, places: int = 6) -> Column:
+    """A number rounded as ``round(x * 10^places) / 10^places``, the way SQL engines do it: ``round`` with places looks at the decimal text, which ends in another digit where the product is just below a half."""
+    return F.round(number * float(10**places)) / float(10**places)
+
+
 def metrics(checked: DataFrame, result: str = "r") -> DataFrame:
     """One row: valid and invalid rows, warnings, and the share of invalid ones in percent."""
     n = lambda cond: F.coalesce(F.sum(cond.cast("long")), F.lit(0))
     r = F.col(result)
     one = checked.agg(n(r["valid"]).alias("n_valid"), n(~r["valid"]).alias("n_invalid"), n(has_warnings(r)).alias("n_warned"))
-    return one.withColumn("invalid_rate", F.round(rate(F.col("n_invalid"), F.col("n_valid")), 6))
+    return one.withColumn("invalid_rate", rounded(rate(F.col("n_invalid"), F.col("n_valid"))))

@@ -36,6 +36,39 @@ def test_markdown_rules(spark):
     assert got(" \n")["issues"] == ["empty"] and got(None)["issues"] == ["empty"] and got("---\n---x")["issues"] == ["no content"]
 
 
+def against_sql(spark, folder, name, rows, schema):
+    """Rows of a query and of its SQL over a table ``documents``."""
+    import duckdb
+
+    import __spark_entry__
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    got = [tuple(r) for r in __spark_entry__.queries()[name](spark, str(folder)).collect()]
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    return got, db.execute(__spark_entry__.oracle_sql()[name]).fetchall()
+
+
+def test_validation_helpers_on_blank_and_missing_texts(spark, tmp_path):
+    rows = [(i, t, None, " ") for i, t in enumerate(("x" * 400, "short", "", " ", "\n \n", "\n" * 60, " " * 300, "x" * 2100, None))]
+    got, want = against_sql(spark, tmp_path, "validation_helpers", rows, "doc_id long, text string, source string, lang string")
+    assert got == want
+
+
+def test_embedded_texts_as_in_sql(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate((None, "Der stsch erung erau.", " ", "\n", "", "a b"), 11)][1:]
+    got, want = against_sql(spark, tmp_path, "embed_documents", rows, "doc_id long, text string")
+    assert sorted(got) == sorted(want) and len(got) == 5
+
+
+def test_rates_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    want = duckdb.connect().execute("select round(100.0e0 * 402 / 640000, 6)").fetchone()[0]
+    got = spark.range(1).select(quality.rounded(quality.rate(F.lit(402), F.lit(640000 - 402))).alias("r")).first()["r"]
+    assert got == want == 0.062812
+
+
 def test_metadata_rules(spark):
     got = lambda t: check(spark, (t,), "metadata string", quality.check_metadata())
     assert got('{"content_type": "lore", "spoiler_flag": false}')["valid"]
