@@ -213,3 +213,24 @@ def test_search_plans_reach_the_scan(spark, tmp_path):
     spark.range(10).select(F.col("id").cast("string").alias("chunk_id"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"), F.lit("x").alias("kind"), F.lit("unused").alias("wide")).write.parquet(str(tmp_path / "v"))
     plan = vector.search(spark.read.parquet(str(tmp_path / "v")), [1.0], 3, {"kind": "x"})._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "EqualTo(kind,x)" in plan and "wide" not in plan
+
+
+def test_index_blocks_hold_their_chunks_and_bounded_text(spark, tmp_path, monkeypatch):
+    """Chunks are dealt into blocks by the size of the text, none is cut, and a search sums up in blocks with the results of one block."""
+    rows = spark.createDataFrame([(i, " ".join(["red", f"w{i % 7}", *[f"x{i}"] * (i % 3)]) + " pad" * 20) for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, f"red w{q} x{q + 5}") for q in range(7)], "query_id long, text string")
+    found = lambda i: sorted(map(tuple, keyword.search(i, queries, 5).collect()))
+    one = keyword.build(rows, "doc_id", "text", path=str(tmp_path / "one"))
+    monkeypatch.setattr(keyword, "BLOCK", 2000)
+    monkeypatch.setattr(keyword, "SUMMED", 50)
+    many = keyword.build(rows, "doc_id", "text", path=str(tmp_path / "many"))
+    many.save(str(tmp_path / "saved"))
+    n = many.facts["blocks"]
+    assert one.facts["blocks"] == 1 and n >= 9
+    for index in (many, keyword.load(spark, str(tmp_path / "saved"))):
+        # the file's number is the writing task's: a chunk's postings lie in one block
+        where = index.postings.select("chunk_id", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("block")).distinct()
+        assert where.count() == 200 and where.select("block").distinct().count() > n // 2
+        assert found(index) == found(one)
+    plan = keyword.search(many, queries, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [query_id") < plan.index("Join") < plan.index("RepartitionByExpression [chunk_id")  # dealt by chunk before the join with the queries
