@@ -1,5 +1,7 @@
 """Text functions, wiki markup, file names, metadata."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,12 @@ def test_wiki_links():
 
 def test_html(spark):
     assert one(spark, "<head>x</head><h1>T</h1><p>a &amp; <a href=\"/b\">b</a></p>", W.html_to_markdown) == "# T\n\na & [b](/b)"
+
+
+def test_names_of_a_text_with_many_mentions(spark):
+    """Counted in one pass over sorted mentions: every mention against every name would take minutes here."""
+    names = [f"n{i * 7919 % 30000}" for i in range(60000)] + ["late"] * 5 + ["n7"] * 3
+    text = "".join(f"[[{n}]]" for n in names) + "[[n5|x]][[n5]]"
+    began = time.perf_counter()
+    got = spark.createDataFrame([(text,), ("",), (None,), ("[[b]] [[a]] [[b]]",)], "t string").select(T.character_names(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in got] == [["n7", "late", "n5", "n0", "n7919"], [], None, ["b", "a"]] and time.perf_counter() - began < 60
