@@ -3,6 +3,7 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,21 @@ def test_embedding_keeps_rows_and_skips_blanks(spark):
     assert abs(sum(x * x for x in got[0]["embedding"]) - 1) < 1e-5
 
 
+def test_embedding_and_chunking_hold_few_rows_at_once(spark, monkeypatch):
+    """A batch of many rows goes on in parts: ten at a time here, in order and without a loss."""
+    from skein.operators import chunking
+
+    seen = []
+    fake = type("Rows", (), {"schema": spark.range(0).select(F.lit("").alias("chunk_text")).schema, "mapInPandas": lambda self, run, schema: run})()
+    monkeypatch.setattr(embed, "HELD", 10)
+    for part in embed.embed(fake, embed.hashing(4))(iter([pd.DataFrame({"chunk_text": [f"w{i}" for i in range(95)]})])):
+        seen += [len(part)]
+    assert seen == [10] * 9 + [5]
+    monkeypatch.setattr(chunking, "HELD", 10)
+    articles = spark.createDataFrame([(str(i), f"T{i}", "body") for i in range(95)], "wiki_id string, title string, content string").coalesce(1)
+    assert sorted(int(r["wiki_page_id"]) for r in chunking.chunk(articles).collect()) == list(range(95))
+
+
 def test_a_text_whose_words_cancel_out_has_a_vector_of_norm_1():
     (vector,) = embed.hashing(16)()(["Der stsch erung erau."])
     assert abs(float((vector**2).sum()) - 1) < 1e-5 and not embed.hashing(16)()([" "])[0].any()
