@@ -55,8 +55,8 @@ def articles(spark: SparkSession, path: str, page_ids: DataFrame | list[str] | N
     A join gives each page the redirects that it looks up (``wikitext.with_redirects``), for tables of any size.
     """
     raw = pages(spark, path)
-    made = wikitext.convert_pages(wikitext.with_redirects(article_pages(raw, page_ids), redirects(raw)))
-    return made.where((F.trim("content") != "") & (F.col("word_count") >= 0)).drop("text", "wiki_links", "_sources", "_targets")
+    made = wikitext.convert_pages(wikitext.with_redirects(article_pages(raw, page_ids), redirects(raw)), raw=False)
+    return made.where((F.trim("content") != "") & (F.col("word_count") >= 0))
 
 
 def edges(raw: DataFrame) -> DataFrame:
